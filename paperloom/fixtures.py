@@ -209,6 +209,41 @@ VIEWS["v_quality"] = """
 SELECT paper_id, CASE paper_id % 4 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'review' ELSE 'ready' END AS status, paper_id % 9 = 0 AS is_collection FROM v_papers
 """
 
+# Pages with the furniture that recognition leaves in the text.
+VIEWS["v_noisy_pages"] = """
+SELECT doc_id, page, '— ' || CAST(page AS STRING) || ' —' || chr(10) || '3 / 8' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || '____' || chr(10) || 'Part II Cloze continued' || chr(10) || 'tail   ' || chr(10) || 'Passage One — Questions 1 to 5' || chr(10) || 'school | 试题卷' AS text FROM v_ocr_pages
+"""
+
+VIEWS["v_titled_pages"] = """
+SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN chr(10) || ' 2024年某省学士学位英语考试' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '真题汇编（一）' || chr(10) ELSE '' END || text ELSE text END AS text FROM v_ocr_pages
+"""
+
+VIEWS["v_block_texts"] = """
+SELECT doc_id, page, CASE page % 3 WHEN 0 THEN 'Directions: mark it in the centre. ' || text WHEN 1 THEN 'Intro' || chr(10) || 'Directions: pick one' || chr(10) || '1. ' || text ELSE text END AS text FROM v_ocr_pages
+"""
+
+# Part lines with directions under every heading.
+VIEWS["v_direction_lines"] = """
+SELECT paper_id, page, line_no * 10 AS line_no, line FROM v_part_lines
+UNION ALL
+SELECT paper_id, 1, number * 20 - 9, 'Directions: part ' || CAST(section_no AS STRING) || ' text' FROM v_questions WHERE number IN (1, 21, 41, 49, 54)
+UNION ALL
+SELECT paper_id, 1, number * 20 - 8, 'mark it in the centre. More' FROM v_questions WHERE number = 21
+"""
+
+# Part lines with two passages in the reading part; the first one has a running head.
+VIEWS["v_passage_lines"] = """
+SELECT paper_id, page, line_no * 10 AS line_no, line FROM v_part_lines
+UNION ALL
+SELECT paper_id, 1, number * 20 - CASE number WHEN 41 THEN 9 ELSE 5 END, CASE number WHEN 41 THEN 'Passage One' WHEN 43 THEN 'Passage 1' ELSE 'Passage Two' END FROM v_questions WHERE number IN (41, 43, 45)
+UNION ALL
+SELECT paper_id, 1, number * 20 - 4, 'text  before question ' || CAST(number AS STRING) FROM v_questions WHERE number IN (41, 45)
+"""
+
+VIEWS["v_described_sections"] = """
+SELECT paper_id, section_no, section_title, CASE paper_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Directions: old.' || chr(10) || chr(10) || 'body text' ELSE 'A description that is longer than the printed directions, kept as it is' END AS description FROM v_sections
+"""
+
 _NAME = re.compile(r"\b(" + "|".join([*TABLES, r"v_\w+"]) + r")\b")
 _LITERAL = re.compile(r"'[^']*'")
 

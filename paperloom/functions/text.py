@@ -161,7 +161,7 @@ def _is_furniture(stripped: Column) -> Column:
 
 def strip_page_artifacts(text: Column) -> Column:
     """Drop page furniture lines; blank lines stay, but never more than one in a row."""
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\R\z", ""), r"\R")
     kept = F.filter(lines, lambda line: ~_is_furniture(strip(line)))
     trimmed = F.transform(kept, lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
     return F.regexp_replace(F.array_join(trimmed, "\n"), r"\n{3,}", "\n\n")

@@ -1,0 +1,30 @@
+"""Merging questions that were extracted from overlapping page windows.
+
+Rows: ``paper_id, section_no, section_title, number, seq, page, type, stem, answer, analysis``.
+``seq`` is the extraction order; ties keep the earlier row. All order rules are written as
+``max_by``/``min_by`` aggregates, which combine map-side before the shuffle. Only the three
+folds whose result depends on text similarity run as Arrow grouped functions, on groups
+already reduced to distinct values.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import text as tx
+
+
+def merge_questions(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """One question per key: longest real stem, first answer, longest analysis, first known type."""
+    stem = F.coalesce("stem", F.lit(""))
+    analysis = F.coalesce("analysis", F.lit(""))
+    answered = (F.col("answer").isNotNull()) & (F.col("answer") != "")
+    known = F.coalesce(F.col("type"), F.lit("")).isin("", "unknown")
+    return chunks.groupBy(*keys).agg(
+        F.max_by(stem, F.struct(~tx.is_blank_label(stem), F.length(stem), -F.col("seq"))).alias("stem"),
+        F.min_by("answer", F.when(answered, F.col("seq"))).alias("answer"),
+        F.max_by(analysis, F.struct(F.length(analysis), -F.col("seq"))).alias("analysis"),
+        F.coalesce(F.min_by("type", F.when(~known, F.col("seq"))), F.lit("unknown")).alias("type"),
+        F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("source_pages"),
+        F.min("seq").alias("first_seq"),
+    )
