@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import flatten, grading, pages, scoring  # noqa: F401
+from . import flatten, grading, pages, quality, scoring  # noqa: F401
 from .registry import oracle_sql, queries  # noqa: F401

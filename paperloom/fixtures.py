@@ -244,6 +244,43 @@ VIEWS["v_described_sections"] = """
 SELECT paper_id, section_no, section_title, CASE paper_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Directions: old.' || chr(10) || chr(10) || 'body text' ELSE 'A description that is longer than the printed directions, kept as it is' END AS description FROM v_sections
 """
 
+# Extracted questions with the faults the checks look for.
+VIEWS["v_checked_questions"] = """
+SELECT paper_id, section_no, section_title, group_no, CAST(floor((number - 1) / 10.0) AS BIGINT) + 1 AS page, number AS position, type,
+ CASE WHEN question_key % 31 = 0 THEN '' WHEN question_key % 37 = 0 THEN 'q5' ELSE question_id END AS question_id,
+ CAST(CASE WHEN question_key % 41 = 0 THEN number - 1 ELSE number END AS STRING) AS number,
+ CASE WHEN question_key % 43 = 0 THEN 'Question ' || CAST(number AS STRING) WHEN question_key % 41 IN (0, 40) THEN 'same  stem' ELSE stem END AS stem,
+ CASE WHEN number > 48 THEN '' WHEN question_key % 47 = 0 THEN 'A' WHEN question_key % 53 = 0 THEN 'AAB' WHEN question_key % 19 = 0 THEN 'ABC' ELSE 'ABCD' END AS option_ids, opt_c
+FROM v_kept_questions
+"""
+
+# Recognised lines of a paper: headings, numbered questions, options, blanks, declared counts, a topic.
+VIEWS["v_source_lines"] = """
+SELECT paper_id, page, line_no * 10 AS line_no, line FROM v_part_lines
+UNION ALL SELECT paper_id, CAST(floor((number - 1) / 10.0) AS BIGINT) + 1, number * 20 + 5, 'A. ' || opt_a || ' B. ' || opt_b || ' C. ' || trim(opt_c) || ' D. ' || opt_d FROM v_questions WHERE number <= 48
+UNION ALL SELECT paper_id, CAST(floor((number - 1) / 10.0) AS BIGINT) + 1, number * 20 - 9, CASE number WHEN 1 THEN '本部分共20题' ELSE '共 2 篇、 20 题' END FROM v_questions WHERE number IN (1, 21)
+UNION ALL SELECT paper_id, CAST(floor((number - 1) / 10.0) AS BIGINT) + 1, number * 20 + 1, 'text __' || CAST(number AS STRING) || '__ text' FROM v_questions WHERE section_no = 2
+UNION ALL SELECT paper_id, 6, number * 20 + 2, 'Topic: My School Life. Write' FROM v_questions WHERE number = 54
+UNION ALL SELECT paper_id, 6, number * 20 + 3, 'Outline:' FROM v_questions WHERE number = 54
+UNION ALL SELECT paper_id, 6, number * 20 + 4, '1. first point' FROM v_questions WHERE number = 54
+"""
+
+# One source line per document and the material kept for it.
+VIEWS["v_prose_lines"] = """
+SELECT doc_id AS paper_id, CAST(1 AS BIGINT) AS page, CAST(0 AS BIGINT) AS line_no, 'Part III Reading' AS line FROM documents
+UNION ALL SELECT doc_id, 1, 1, replace(text, chr(10), ' ') FROM documents
+"""
+
+VIEWS["v_material"] = """
+SELECT doc_id AS paper_id, 'part-III' AS section_key, 'reading' AS kind, CASE WHEN doc_id % 3 = 1 THEN 'lost' ELSE text END AS description FROM documents
+"""
+
+# Extraction windows; a failed one carries an error and sometimes the pages that failed.
+VIEWS["v_windows"] = """
+SELECT user_id AS paper_id, event_id AS window_no, event_id % 8 + 1 AS page, CASE WHEN event_type = 'error' THEN 'timeout ' || CAST(event_id AS STRING) END AS error,
+ CASE WHEN event_id % 3 = 0 THEN event_id % 5 + 1 END AS failed_page FROM events
+"""
+
 _NAME = re.compile(r"\b(" + "|".join([*TABLES, r"v_\w+"]) + r")\b")
 _LITERAL = re.compile(r"'[^']*'")
 

@@ -28,3 +28,10 @@ def merge_questions(chunks: DataFrame, keys: list[str]) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("source_pages"),
         F.min("seq").alias("first_seq"),
     )
+
+
+def extraction_warnings(windows: DataFrame) -> DataFrame:
+    """Pages of failed windows: ``paper_id, window_no, error, pages, failed_pages`` to one row per page."""
+    failed = windows.filter(F.coalesce("error", F.lit("")) != "")
+    named = F.when(F.size("failed_pages") > 0, F.col("failed_pages")).otherwise(F.col("pages"))
+    return failed.select("paper_id", "window_no", "error", F.explode(named).alias("page"))
