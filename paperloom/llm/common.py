@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +35,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Rows of ``df`` through a function from a batch to a batch, each a dict of columns.
+
+    ``make()`` gives that function and runs once a task, so it may hold what the task reuses. Ids
+    come as Python numbers or None: unlike a data frame's, a column with nulls keeps its integers.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(each(batch.to_pydict()), schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

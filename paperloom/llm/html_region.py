@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Pages that the weights are counted on, at most.
 SAMPLE_PAGES = 1_000
 #: Share of a region's words that a container must hold so that the region takes its bounds.
@@ -222,11 +224,12 @@ def extract(pages: DataFrame, weight: dict[str, float] | None = None) -> DataFra
     """
     weight = learn(pages) if weight is None else weight
 
-    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["text"] = [main_text(p, weight) for p in batch["html"]]
-            batch["n_chars"] = [len(t) for t in batch["text"]]
-            yield batch[["page_id", "url", "text", "n_chars"]]
+    def extractor():
+        def extracted(batch: dict) -> dict:
+            texts = [main_text(p, weight) for p in batch["html"]]
+            return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))}
+
+        return extracted
 
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "html").mapInPandas(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), extractor, f"page_id {kind}, url string, text string, n_chars long")
