@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digests, exact_dedup, html_region, langid, ngram_join, packing, quality_trees
+from . import bilinear_lm, digests, exact_dedup, html_region, langid, mixing, ngram_join, packing, pii_segments, quality_trees
 from .common import read
 
 
@@ -32,10 +32,24 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(read(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.drawn(read(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii_segments.find(docs, pii_segments.learn(docs))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return bilinear_lm.score(docs, bilinear_lm.learn(docs))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,7 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_pii": op7_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
