@@ -8,9 +8,11 @@ parts and are packed again, round after round, until one pool is left.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,18 +34,33 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
+#: The public pattern that splits a text before the merges of a byte-level vocabulary.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary of a byte-level tokenizer as bytes, without its special tokens. Bytes that
+    print stand for themselves in the file, the others for the code points from 256 on."""
+    with open(path, encoding="utf-8") as file:
+        saved = json.load(file)
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = (b for b in range(256) if b not in prints)
+    byte = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(other)}
+    special = {t["content"] for t in saved["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in saved["model"]["vocab"].items() if token not in special}
+
+
 @lru_cache(maxsize=2)
 def _ids_of(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    chunks = Memo(encode, 150_000)
+    # The same vocabulary; for short strings it takes a fraction of the time.
+    short = tiktoken.Encoding("short", pat_str=_SPLIT, mergeable_ranks=_ranks(path), special_tokens={})
+    chunks = Memo(lambda chunk: array("I", short.encode_ordinary(chunk)).tobytes(), 250_000)
 
     def ids(text: str) -> bytes:
         """Ids as little-endian 32-bit numbers.
@@ -53,7 +70,7 @@ def _ids_of(path: str):
         remembered. Texts with other white space than blanks and line ends are encoded whole.
         """
         if _ODD_SPACE.search(text):
-            return encode(text)
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(chunks.__getitem__, _CHUNK.findall(text)))
 
     return ids
