@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences, with bin counts certified by lower bounds.
 
 Pieces are dealt over parts and packed best-fit decreasing. Dual-feasible functions bound from
-below how many bins a part needs. Parts whose count the bound does not certify, and the loosest
-bin of every other part, have gaps: the pieces of such bins meet in a pool with those of sixteen
-parts and are packed again, round after round, until one pool is left.
+below how many bins a part needs, which certifies its packing or not. The loosest bins of a part,
+more of them the further it is above its bound, are its gaps: their pieces meet in a pool with
+those of sixteen parts and are packed again, round after round, until one pool is left.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ CAPACITY = 2048
 PART_PIECES = 2_000
 #: Parts whose open bins meet in one pool.
 FAN = 16
-#: Bins that an uncertified part gives up for each bin above its bound.
+#: Loose bins that a part gives up, and as many more for each bin above its bound.
 RELEASED = 8
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -155,7 +155,7 @@ def _pack(rows: pd.DataFrame, level: int, capacity: int) -> pd.DataFrame:
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
     held = rows.groupby("sequence_id")["length"].sum()
     above = len(held) - bound(lengths, capacity)
-    loosest = held[held < capacity].nsmallest(1 if above <= 0 else RELEASED * above + 1).index
+    loosest = held[held <= capacity - capacity // 64].nsmallest(RELEASED * (1 + max(0, above))).index
     rows["open"] = rows["sequence_id"].isin(loosest)
     return rows
 
