@@ -122,12 +122,12 @@ def _directions(r):
 
 @query("T14", """SELECT l.paper_id, q.number * 2 AS start_line, q.number, l.line_no, l.line FROM v_question_lines l JOIN v_questions q ON q.paper_id = l.paper_id AND q.number = l.line_no // 2""")
 def _numbered(r):
-    return pg.numbered_blocks(r.v_question_lines, ["paper_id"], 1, 48)
+    return pg.numbered_blocks(r.v_question_lines, ["paper_id"])
 
 
-@query("T15", """SELECT paper_id, number, 'single_choice' AS type, stem, 'A=' || opt_a || '|B=' || opt_b || '|C=' || trim(opt_c) || '|D=' || opt_d AS options FROM v_questions WHERE number <= 48 AND stem <> ''""")
+@query("T15", """SELECT paper_id, number, 'single_choice' AS type, stem, 'A=' || opt_a || '|B=' || opt_b || '|C=' || trim(opt_c) || '|D=' || opt_d AS options FROM v_questions""")
 def _choices(r):
-    return pg.choice_options(pg.numbered_blocks(r.v_question_lines, ["paper_id"], 1, 48), ["paper_id"])
+    return pg.choice_options(pg.numbered_blocks(r.v_question_lines, ["paper_id"]), ["paper_id"])
 
 
 @query("T16", """SELECT paper_id, 'part-IV' AS scope, number, 'short_answer' AS type, trim(stem || ' x') AS stem FROM v_questions WHERE section_no = 4""")

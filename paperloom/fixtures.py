@@ -165,17 +165,18 @@ SELECT paper_id, CAST(floor((number - 1) / 10.0) AS BIGINT) + 1, number * 2, CAS
 """
 
 VIEWS["v_question_lines"] = """
-SELECT paper_id, number * 2 AS line_no, CAST(number AS STRING) || '. ' || stem AS line FROM v_questions WHERE number <= 48 AND stem <> ''
+SELECT paper_id, number * 2 AS line_no, CAST(number AS STRING) || '. ' || stem AS line FROM v_questions
 UNION ALL
-SELECT paper_id, number * 2 + 1, 'A. ' || opt_a || ' B. ' || opt_b || ' C. ' || trim(opt_c) || ' D. ' || opt_d FROM v_questions WHERE number <= 48 AND stem <> ''
+SELECT paper_id, number * 2 + 1, 'A. ' || opt_a || ' B. ' || opt_b || ' C. ' || trim(opt_c) || ' D. ' || opt_d FROM v_questions
 """
 
-# Two overlapping extraction windows over every paper.
+# Two overlapping extraction windows over every paper. The first one cuts texts that the second
+# holds whole; what only the first one holds, it holds whole.
 VIEWS["v_chunks"] = """
 SELECT paper_id, section_no, section_title, number, n AS chunk, (n * 100 + number) AS seq, n + number % 5 AS page, type,
- CASE WHEN n = 1 AND number % 4 = 0 THEN 'Blank ' || CAST(number AS STRING) WHEN n = 1 THEN substr(stem, 1, 6) ELSE stem END AS stem,
+ CASE WHEN n = 1 AND number % 4 = 0 AND number % 13 <> 0 THEN 'Blank ' || CAST(number AS STRING) WHEN n = 1 AND number % 13 <> 0 THEN substr(stem, 1, 6) ELSE stem END AS stem,
  CASE WHEN n = number % 2 + 1 THEN answer_key END AS answer, CASE WHEN n = 2 THEN opt_b ELSE opt_a END AS analysis,
- opt_a, CASE WHEN n = 1 THEN substr(opt_b, 1, 3) ELSE opt_b END AS opt_b, CASE WHEN n = 2 THEN opt_c END AS opt_c, group_no
+ opt_a, CASE WHEN n = 1 AND number % 13 <> 0 THEN substr(opt_b, 1, 3) ELSE opt_b END AS opt_b, CASE WHEN n = 2 OR number % 13 = 0 THEN opt_c END AS opt_c, group_no
 FROM (SELECT *, 1 AS n FROM v_questions UNION ALL SELECT *, 2 AS n FROM v_questions) c WHERE number % 13 <> 0 OR n = 1
 """
 
@@ -197,11 +198,11 @@ UNION ALL SELECT n % 2, 2000000000 + n, phrase FROM (
 """
 
 VIEWS["v_corpus"] = """
-SELECT doc_id AS entry_id, 2021 + doc_id % 5 AS year, CASE doc_id % 3 WHEN 0 THEN 'vocabulary' WHEN 1 THEN 'cloze' ELSE 'reading' END AS section, text FROM documents WHERE lang = 'en'
+SELECT doc_id AS entry_id, 2021 + doc_id % 5 AS year, CASE doc_id % 3 WHEN 0 THEN 'vocabulary' WHEN 1 THEN 'cloze' ELSE 'reading' END AS section, text FROM documents
 """
 
 VIEWS["v_cloze"] = """
-SELECT doc_id, 21 AS number, substr(text, 1, 60) || ' __21__ ' || substr(text, 61) AS text FROM documents WHERE lang = 'en'
+SELECT doc_id, 21 AS number, substr(text, 1, 60) || ' __21__ ' || substr(text, 61) AS text FROM documents
 """
 
 # Result of the structural checks, as stored with each paper.

@@ -28,7 +28,7 @@ def normalize_answer(text: Column) -> Column:
     trimmed = strip(F.coalesce(text, F.lit("")))
     letters = trimmed.rlike("^[A-Za-z]{2,}$")
     parts = F.when(letters, F.split(trimmed, "(?<=.)(?=.)")).otherwise(
-        F.split(trimmed, r"[,，;；\s]+")
+        F.split(trimmed, r"(?U)[,，;；\s]+")
     )
     return normalize_parts(parts)
 

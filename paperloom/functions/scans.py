@@ -9,6 +9,7 @@ is therefore spread over as many tasks as it has blocks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -80,7 +81,10 @@ def running(
         carried.append(over(F.col(f"__s_{name}")).over(blocks.rowsBetween(*before)).alias(f"__c_{name}"))
 
     earlier = rows.groupBy(*keys, "__block").agg(*summaries).select(*keys, "__block", *carried)
-    out = out.join(earlier, [*keys, "__block"], "left")
+    # Null keys are groups too.
+    renamed = earlier.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__block"]})
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__block"]]
+    out = out.join(renamed, reduce(lambda a, b: a & b, same), "left")
     for name, spec in specs.items():
         here, prior = F.col(name), F.col(f"__c_{name}")
         if spec.kind == "sum":

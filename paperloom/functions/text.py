@@ -81,15 +81,15 @@ def section_kind(title: Column) -> Column:
 def nfkc(text: Column) -> Column:
     """Compatibility form of a text.
 
-    Spark has no built-in for it, so this is an Arrow-batched function. Callers that know
-    their text to be ASCII leave it out and stay JVM-side.
+    Spark has no built-in for it, so this is an Arrow-batched function. ASCII texts are their own
+    form: they go to it as nulls and stay JVM-side.
     """
 
     @F.pandas_udf("string")
     def form(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return form(text)
+    return F.coalesce(form(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def section_key(title: Column, type_: Column | None = None) -> Column:

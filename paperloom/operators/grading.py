@@ -76,7 +76,8 @@ def item_scores(items: DataFrame, sections: DataFrame) -> DataFrame:
         ratio(F.col("total_score"), F.col("n_questions"))
     )
     per_question = sections.select("paper_id", "section_no", score.alias("max_score"))
-    return items.join(per_question, ["paper_id", "section_no"])
+    # An item without a section row keeps its place and has no score to win.
+    return items.join(per_question, ["paper_id", "section_no"], "left").withColumn("max_score", F.coalesce("max_score", money(F.lit(0))))
 
 
 def _key_matches() -> Column:
@@ -262,7 +263,7 @@ def attempt_progress(answers: DataFrame, marks: DataFrame, paper_counts: DataFra
         answered.unionByName(doubtful)
         .groupBy(*RECORD)
         .agg(F.sum("answered").alias("answered"), F.sum("doubtful").alias("doubtful"))
-        .join(paper_counts.select("paper_id", F.col("question_count").alias("total")), "paper_id")
+        .join(paper_counts.select("paper_id", F.col("question_count").alias("total")), "paper_id", "left")
         .select(*RECORD, "answered", "total", "doubtful")
     )
 

@@ -31,7 +31,8 @@ def merge_questions(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extraction_warnings(windows: DataFrame) -> DataFrame:
-    """Pages of failed windows: ``paper_id, window_no, error, pages, failed_pages`` to one row per page."""
+    """Pages of failed windows: ``paper_id, window_no, error, pages, failed_pages`` to one row per page;
+    a window that names no page keeps one row without."""
     failed = windows.filter(F.coalesce("error", F.lit("")) != "")
     named = F.when(F.size("failed_pages") > 0, F.col("failed_pages")).otherwise(F.col("pages"))
-    return failed.select("paper_id", "window_no", "error", F.explode(named).alias("page"))
+    return failed.select("paper_id", "window_no", "error", F.explode_outer(named).alias("page"))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx
 from ..functions.answers import ratio
 from ..functions.scans import Running, running
-from ..functions.staging import stage
 
 LINES_PER_BLOCK = 4096
 PAGES_PER_BLOCK = 512
@@ -22,12 +21,12 @@ CHARS_PER_BIN = 65536
 _EXAM_START = r"(?i)Part\s*(?:I|Ⅰ|1)\s+Vocabulary\s+and\s+Structure"
 _PART_HEADING = r"(?i)^[^A-Za-z0-9]{0,8}[ \t]*Part[ \t]+([IVXⅠⅡⅢⅣⅤⅥ]+|\d+)[ \t]+(.+)"
 _PART_META = (
-    r"(?i)^\s*Part\s+([IVXⅠⅡⅢⅣⅤⅥ]+|\d+)\s+([^（(]*?)"
-    r"(?:[（(]\s*(\d+)\s*minutes?\s*[,，]\s*(\d+(?:\.\d+)?)\s*points?\s*[）)])?\s*$"
+    r"(?iU)^\s*Part\s+([IVXⅠⅡⅢⅣⅤⅥ]+|\d+)\s+([^（(]*?)"
+    r"(?:[（(]\s*([0-9]+)\s*minutes?\s*[,，]\s*([0-9]+(?:\.[0-9]+)?)\s*points?\s*[）)])?\s*$"
 )
-_SCOPE_HEADING = r"(?i)^\s*Part\s+([IVX]+|\d+)\s+(.+)"
-_NUMBER_LINE = r"^\s*(\d{1,3})\s*[.、](?:\s|$)"
-_NUMBER_HEAD = r"^\s*(\d{1,3})\s*[.、]\s*"
+_SCOPE_HEADING = r"(?iU)^\s*Part\s+([IVX]+|\d+)\s+(.+)"
+_NUMBER_LINE = r"(?U)^\s*([0-9]{1,3})\s*[.、](?:\s|$)"
+_NUMBER_HEAD = r"(?U)^\s*([0-9]{1,3})\s*[.、]\s*"
 _PASSAGE_LINE = r"(?i)^[^A-Za-z0-9]{0,8}(?:[A-D]\s+)?Passage\s+(\d+|One|Two|Three|Four)\b.*$"
 _SENTENCE_MARKS = "[.!?。！？]"
 
@@ -64,12 +63,12 @@ def split_exams(pages: DataFrame) -> DataFrame:
     """
     tail = F.get(F.split(F.col("text"), _EXAM_START, 2), F.lit(1))
     first = F.regexp_extract(F.col("tail"), r"(?m)^\s*(\d+)\s*[.、]\s+", 1)
-    headed = stage(
+    headed = (
         pages.filter(F.col("text").rlike(_EXAM_START) & (F.col("page") > 0))
         .select("doc_id", "page", tail.alias("tail"))
         .select(
             "doc_id", "page",
-            (F.col("tail").rlike(r"(?i)^[^\n]*(?:continued|续)") | ((first != "") & (first.cast("int") != 1))).alias("continues"),
+            (F.col("tail").rlike(r"(?i)^[^\n]*(?:continued|续)") | ((first != "") & ~first.rlike("^0*1$"))).alias("continues"),
         )
     )
     opening = headed.groupBy("doc_id").agg(F.min("page").alias("first_page"))
@@ -164,7 +163,7 @@ def clamp_exam_ranges(proposals: DataFrame, documents: DataFrame) -> DataFrame:
     ``proposals``: ``doc_id, exam_no, start_page, end_page``; ``documents``: ``doc_id, n_pages``.
     """
     n = F.col("n_pages").cast("bigint")
-    as_page = lambda name, default: F.coalesce(F.col(name).cast("double").cast("bigint"), default)
+    as_page = lambda name, default: F.coalesce(F.col(name).try_cast("double").try_cast("bigint"), default)
     start = F.greatest(F.lit(1).cast("bigint"), F.least(n, as_page("start_page", F.lit(1).cast("bigint"))))
     given = (
         proposals.join(documents, "doc_id")
@@ -229,10 +228,11 @@ def part_blocks(lines: DataFrame) -> DataFrame:
 
     A heading that repeats the number and kind of the one before continues its block.
     """
+    lines = lines.withColumn("line", F.regexp_replace("line", "\u00a0", " "))
     label = tx.fold_roman_signs(F.regexp_extract("line", _PART_HEADING, 1))
     rest = F.regexp_extract("line", _PART_HEADING, 2)
     # Headings are few, but several steps below read them.
-    headings = stage(
+    headings = (
         lines.filter(F.col("line").rlike(_PART_HEADING))
         .select(
             "paper_id", "line_no",
@@ -263,7 +263,7 @@ def part_blocks(lines: DataFrame) -> DataFrame:
 def part_metadata(lines: DataFrame) -> DataFrame:
     """Title, minutes, points and directions per part; the last heading of a part wins."""
     is_heading = F.col("line").rlike(_PART_META)
-    held = stage(
+    held = (
         running(
             lines.select("paper_id", "line_no", "line"), ["paper_id"], ["line_no"], _line_block(),
             {"heading_line": Running("last", F.when(is_heading, F.col("line_no")))},
@@ -316,12 +316,12 @@ def part_metadata(lines: DataFrame) -> DataFrame:
     )
 
 
-def scope_lines(lines: DataFrame, normalize: bool = False) -> DataFrame:
+def scope_lines(lines: DataFrame) -> DataFrame:
     """Current part of every line (``unscoped`` before the first heading); state crosses pages.
 
-    ``normalize=True`` first folds full-width text, which costs an Arrow pass.
+    Full-width text is folded first, so full-width headings and numbers count too.
     """
-    rows = lines.withColumn("line", tx.nfkc(F.col("line"))) if normalize else lines
+    rows = lines.withColumn("line", tx.nfkc(F.col("line")))
     label = F.regexp_extract("line", _SCOPE_HEADING, 1)
     heading = F.when(
         F.col("line").rlike(_SCOPE_HEADING),
@@ -418,7 +418,7 @@ def passages(lines: DataFrame, part_points: DataFrame, default_points: float = 2
     word = F.lower(F.regexp_extract("line", _PASSAGE_LINE, 1))
     # Spelled passage labels.
     label = F.when(word == "one", "1").when(word == "two", "2").when(word == "three", "3").when(word == "four", "4").otherwise(word)
-    rows = stage(lines.select("paper_id", "line_no", "line"))
+    rows = lines.select("paper_id", "line_no", "line")
     heads = rows.filter(F.col("line").rlike(_PASSAGE_LINE)).select("paper_id", "line_no", label.alias("label"))
     opened = running(
         heads, ["paper_id"], ["line_no"], _line_block(),
@@ -431,7 +431,7 @@ def passages(lines: DataFrame, part_points: DataFrame, default_points: float = 2
         {"passage": Running("last", F.col("opening"))},
     ).filter(F.col("passage").isNotNull() & F.col("opening").isNull())
     keys = ["paper_id", "start_line", "label"]
-    body = stage(
+    body = (
         held.select("paper_id", "passage.*", "line_no", "line").withColumn(
             "number", F.regexp_extract("line", _NUMBER_LINE, 1).try_cast("int")
         )
@@ -619,7 +619,7 @@ def writing_question(lines: DataFrame, previous_numbers: DataFrame, default: int
         F.min("line_no").alias("outline_line")
     )
     used = previous_numbers.filter(F.col("number").cast("string").rlike(r"^\d+$")).groupBy("paper_id").agg(
-        F.max(F.col("number").cast("int")).alias("last_number")
+        F.max(F.col("number").try_cast("int")).alias("last_number")
     )
     text = lines.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
     bullet = (F.col("mark.number") == "1") & (F.col("outline_line") < F.col("mark.line_no"))
@@ -642,7 +642,7 @@ def build_standard(lines: DataFrame) -> DataFrame:
     """Sections of every paper in the five-part layout (at least 50 questions)."""
     # Part number, kind and default points of the standard layout.
     layout = {"1": ("choice", 30.0), "2": ("cloze", 20.0), "3": ("reading", 20.0), "4": ("translation", 15.0), "5": ("writing", 15.0)}
-    blocks = stage(part_blocks(lines))
+    blocks = part_blocks(lines)
     shape = blocks.groupBy("paper_id").agg(
         *[F.max_by(F.when(F.col("part_number") == p, F.col("kind")), F.when(F.col("part_number") == p, F.col("start_line"))).alias(f"k{p}") for p in layout],
         F.sum("minutes").alias("minutes"),
@@ -657,7 +657,6 @@ def build_standard(lines: DataFrame) -> DataFrame:
         ),
         ["paper_id"], ["line_no"], _line_block(), {"part": Running("last", F.col("opening"))},
     ).filter(F.col("opening").isNull() & F.col("part").isNotNull()).select("paper_id", "part.*", "line_no", "line")
-    held = stage(held)
     number = F.regexp_extract("line", _NUMBER_LINE, 1).try_cast("int")
     counted = held.withColumn("number", number).filter(F.col("number").isNotNull())
     kept = counted.filter(

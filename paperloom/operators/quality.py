@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.scans import Running, running
-from ..functions.staging import stage
 from .pages import LINES_PER_BLOCK, numbered_blocks, scope_lines
 
 ISSUE = ["paper_id", "code", "severity", "section", "number", "page"]
@@ -73,11 +72,16 @@ def duplicate_number(questions: DataFrame) -> DataFrame:
         tx.section_key(F.col("section_title")).alias("section_key"),
         F.regexp_replace(F.coalesce("stem", F.lit("")), r"(?U)\s+", "").alias("packed"),
     )
+    # A question on several pages is one question; its pages come back as rows at the end.
+    keyed = keyed.groupBy("paper_id", "section_title", "section_key", "number", "position").agg(
+        F.first("packed").alias("packed"), F.sort_array(F.collect_set("page")).alias("pages")
+    )
     previous = running(
         keyed, ["paper_id", "section_key", "number"], ["position"], F.floor(F.col("position") / LINES_PER_BLOCK),
         {"before": Running("last", F.col("packed"), inclusive=False)},
     ).filter(F.col("before").isNotNull())
     level = F.when(F.col("before") == F.col("packed"), "error").otherwise("warning")
+    previous = previous.withColumn("page", F.explode_outer("pages"))
     return issues(previous, "duplicate_number", level, "section_title", "number", "page")
 
 
@@ -145,8 +149,8 @@ class Source:
     ``lines`` are scanned once; the numbers and pages found are small beside the texts.
     """
 
-    def __init__(self, lines: DataFrame, questions: DataFrame, normalize: bool = False):
-        self.lines = stage(scope_lines(lines, normalize=normalize))
+    def __init__(self, lines: DataFrame, questions: DataFrame):
+        self.lines = scope_lines(lines)
         self.questions = questions
         kind = tx.section_kind(F.col("section_title"))
         pooled = F.when(kind.isin("wordbank", "matching"), F.lit("reading")).otherwise(kind)
@@ -157,7 +161,7 @@ class Source:
             )
             .distinct()
         )
-        scopes = self.lines.groupBy("paper_id", "scope").agg(F.max("scope_kind").alias("scope_kind"))
+        scopes = self.lines.groupBy("paper_id", "scope").agg(F.max_by("scope_kind", F.when(F.col("scope_kind").isNotNull(), F.col("line_no"))).alias("scope_kind"))
         held = self.actual.select("paper_id", "held_as").distinct()
         by_key = held.select("paper_id", F.col("held_as").alias("scope"), F.lit(True).alias("by_key"))
         by_kind = held.select("paper_id", F.col("held_as").alias("kind_ref"), F.lit(True).alias("by_kind"))
@@ -212,7 +216,7 @@ class Source:
         blocks = numbered_blocks(self.lines, keys, 0, 999)
         item = [*keys, "start_line", "number"]
         cuts = blocks.filter(F.col("line").rlike(SEGMENT_END)).groupBy(*item).agg(F.min("line_no").alias("cut"))
-        labels = F.explode(F.regexp_extract_all("line", F.lit(r"(?<!\w)([A-D])\s*[).、]\s*"), F.lit(1)))
+        labels = F.explode(F.regexp_extract_all("line", F.lit(r"(?U)(?<!\w)([A-D])\s*[).、]\s*"), F.lit(1)))
         return (
             blocks.join(cuts, item, "left")
             .filter(F.col("cut").isNull() | (F.col("line_no") < F.col("cut")))
