@@ -41,18 +41,13 @@ def exponent(sources: DataFrame, repeats_at_par: float, entropy_share: float, mo
     at exponent 1. Entropy falls and repetition falls as the exponent grows, so each bound lies
     between two neighbouring points of a grid, and the next round takes a grid between these.
     """
-    log_p = F.log("p")
-
     def measured(points: list[float]) -> list[tuple[float, float]]:
-        wanted = []
-        for a in points:
-            wanted += [F.sum(F.exp(a * log_p)), F.sum(F.exp(a * log_p) * log_p), F.max((a - 1) * log_p)]
-        row = sources.agg(*[w.alias(f"m{i}") for i, w in enumerate(wanted)]).first()
-        found = []
-        for i, a in enumerate(points):
-            z, zl, top = row[3 * i : 3 * i + 3]
-            found.append((math.log(z) - a * zl / z, repeats_at_par * math.exp(top) / z))
-        return found
+        """Entropy and most repeats at each point, by one aggregation over (source, point)."""
+        at = F.posexplode(F.array(*map(F.lit, points))).alias("i", "a")
+        logs = sources.select(F.log("p").alias("l"), at).withColumn("w", F.exp(F.col("a") * F.col("l")))
+        sums = logs.groupBy("i").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.col("l")).alias("zl"), F.max((F.col("a") - 1) * F.col("l")).alias("top"))
+        found = {r["i"]: r for r in sums.collect()}
+        return [(math.log(r["z"]) - a * r["zl"] / r["z"], repeats_at_par * math.exp(r["top"]) / r["z"]) for a, r in ((a, found[i]) for i, a in enumerate(points))]
 
     kinds = sources.count()
     if kinds < 2:
