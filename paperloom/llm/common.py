@@ -14,6 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+#: Rows of an Arrow batch that are Python values at one time.
+SLICE = 1_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -46,7 +50,8 @@ def mapped(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict(each(batch.to_pydict()), schema=arrow)
+            for at in range(0, batch.num_rows, SLICE):
+                yield pa.RecordBatch.from_pydict(each(batch.slice(at, SLICE).to_pydict()), schema=arrow)
 
     return df.mapInArrow(run, schema)
 
