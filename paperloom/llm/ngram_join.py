@@ -27,7 +27,7 @@ LEFT_OUT = 2
 #: Cost of a row of an inverted list, with the comparisons that it causes, in rows of a subset.
 SCAN_COST = 4.0
 #: Shingles that take the last places of every set, at most; they are broadcast.
-FREQUENT_MOST = 300_000
+FREQUENT_MOST = 1_000_000
 #: Documents that a shingle is in, at least, before it can be one of them.
 FREQUENT_LEAST = 16
 #: Buckets of document ids by which sets are fetched for comparison; a fixed 2^20 bits are sent.
@@ -35,9 +35,6 @@ ID_BUCKETS = 1 << 20
 SALTS, HOT_ROWS, HOT_SHARE, SIG_BUCKETS = 64, 1_000, 1 / 2_000, 1 << 16
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-#: Values of this and above are not counted for frequency: three quarters of all.
-_LOW = 1 << 61
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64-bit values spread evenly, then cut to 63 bits so that they are positive numbers in Spark."""
@@ -84,6 +81,15 @@ class Rule:
         """Elements, in any order common to all sets, of which a similar set shares one at least."""
         return n - self.smallest(n) + 1
 
+    def shared(self, n: int) -> int:
+        """Elements that a similar set of at least this size shares with the longer ``head``."""
+        return max(1, self.prefix(n) // 2)
+
+    def head(self, n: int) -> int:
+        """With that many more elements than ``prefix`` but one, similar sets share ``shared`` of them
+        at least, by the same argument; the smaller set of two says how many."""
+        return min(n, n - self.smallest(n) + self.shared(n))
+
     def subset_sizes(self, n: int) -> list[int]:
         """Overlaps that a set of ``n`` can need with a similar set of any size."""
         largest = self.den * n // self.num
@@ -114,7 +120,7 @@ def _subsets(values: np.ndarray, c: int) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles in the low quarter of hash values that many documents share, sorted.
+    """Shingles that many documents share, sorted.
 
     Each task counts all its documents and reports what it saw twice or more. The result only
     sets the order of elements, so what it leaves out changes the work and not the links.
@@ -129,8 +135,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
         for batch in batches:
             for text in batch["text"]:
-                values = shingler(text)
-                held.append(values[: np.searchsorted(values, _LOW)])
+                held.append(shingler(text))
                 size += len(held[-1])
                 if size > 4_000_000:
                     yield report()
@@ -146,7 +151,9 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _hashed(docs: DataFrame, n: int, rule: Rule, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), sig (128 bits of the set), prefix, small (the set, if small)."""
+    """doc_id, n (size of the set), sig (128 bits of the set), head (its first elements in the
+    common order), take (how many of them are its prefix), rare (elements that aren't frequent),
+    small (the set, if small)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     largest = rule.largest_small()
 
@@ -154,35 +161,33 @@ def _hashed(docs: DataFrame, n: int, rule: Rule, frequent: np.ndarray) -> DataFr
         shingler, last = Shingler(n), shared.value
 
         def hashed(batch: dict) -> dict:
-            out: dict = {"doc_id": batch["doc_id"], "n": [], "sig": [], "prefix": [], "small": []}
+            out: dict = {"doc_id": batch["doc_id"], "n": [], "sig": [], "head": [], "take": [], "rare": [], "small": []}
             for text in batch["text"]:
                 values = shingler(text)
                 size = len(values)
-                take = rule.prefix(size) if size else 0
-                prefix = values[:take]
-                if len(last) and size:
-                    # Frequent elements come after all others.
-                    low = values[: np.searchsorted(values, _LOW)]
-                    often = np.zeros(size, bool)
-                    often[: len(low)] = last[np.minimum(np.searchsorted(last, low), len(last) - 1)] == low
-                    rare = values[~often]
-                    prefix = rare[:take] if len(rare) >= take else np.concatenate([rare, values[often][: take - len(rare)]])
+                take = rule.head(size) if size else 0
+                often = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(size, bool)
+                # Frequent elements come after all others.
+                rare = values[~often]
+                head = rare[:take] if len(rare) >= take else np.concatenate([rare, values[often][: take - len(rare)]])
                 out["n"].append(size)
                 out["sig"].append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-                out["prefix"].append(prefix)
+                out["head"].append(head)
+                out["take"].append(rule.prefix(size) if size else 0)
+                out["rare"].append(len(rare))
                 out["small"].append(values if size <= largest else values[:0])
             return out
 
         return hashed
 
-    return mapped(docs, hasher, "doc_id long, n int, sig binary, prefix array<long>, small array<long>")
+    return mapped(docs, hasher, "doc_id long, n int, sig binary, head array<long>, take int, rare int, small array<long>")
 
 
-def _starred(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b, na, nb, *keys): each row's node b and the leader a of its list, the smallest set."""
-    leaders = rows.groupBy(*keys).agg(F.min(F.struct("n", "node")).alias("leader"), F.count(F.lit(1)).alias("held"))
-    leaders = leaders.filter("held > 1").select(*keys, F.col("leader.n").alias("na"), F.col("leader.node").alias("a"))
-    return rows.join(leaders, keys).filter("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), *keys)
+def _starred(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(a, b, na, nb, pa, pb, *keys): each row's node b and its list's leader a, the least by ``order``."""
+    leader = F.min(F.struct(*order, F.col("n").alias("na"), F.col("node").alias("a"), F.col("pos").alias("pa"))).alias("l")
+    leaders = rows.groupBy(*keys).agg(leader, F.count(F.lit(1)).alias("held")).filter("held > 1").select(*keys, "l.na", "l.a", "l.pa")
+    return rows.join(leaders, keys).filter("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "pa", F.col("pos").alias("pb"), *keys)
 
 
 def _boundary(nodes: DataFrame, rule: Rule) -> int:
@@ -214,42 +219,81 @@ def _small_links(nodes: DataFrame, rule: Rule, most: int) -> DataFrame:
                 yield pd.concat(out, ignore_index=True)
 
     rows = nodes.filter(F.col("n") <= most).select("node", "n", "small").mapInPandas(listed, "c int, subset long, node long, n int")
-    need = F.ceil(F.lit(rule.num) * (F.col("na") + F.col("nb")) / F.lit(rule.num + rule.den))
-    return _starred(rows, ["c", "subset"]).filter(need <= F.col("c")).select("a", "b").distinct()
+    stars = _starred(rows.withColumn("pos", F.lit(0)), ["c", "subset"], ["n", "node"])
+    return stars.filter(_need(rule) <= F.col("c")).select("a", "b").distinct()
+
+
+def _bits(ids: DataFrame, column: str) -> np.ndarray:
+    """Buckets of ids as bits; never more than ``ID_BUCKETS`` of them, whatever the number of ids."""
+    buckets = ids.select(F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)).cast("int").alias("k")).distinct().toPandas()["k"]
+    bits = np.zeros(ID_BUCKETS, bool)
+    bits[buckets.to_numpy(int)] = True
+    return np.packbits(bits)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that share enough of their heads to be similar; no similar pair is lost."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"))
+    n = F.least("na", "nb")
+    # Rule.prefix and Rule.shared of the smaller set.
+    prefix = n - F.ceil(F.lit(rule.num) * n / F.lit(rule.den)) + 1
+    need = F.greatest(F.lit(1), F.floor(prefix / 2))
+    both = pairs.join(right, "b").join(left, "a")
+    return both.filter(F.size(F.array_intersect("ha", "hb")) >= need).select("a", "b")
 
 
-def _sets(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
-    """(node, values): sets of the documents in ``ids``, computed anew from their texts.
+def _similar(pairs: DataFrame, docs: DataFrame, n: int, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of documents whose sets are similar, by exact intersection.
 
-    The ids are matched by bucket first, through a bit map of fixed size, so texts aren't shuffled.
+    Texts travel, as they are smaller than their sets. A bit map of fixed size sorts out most that
+    no pair needs before anything is shuffled; the joins sort out the rest.
     """
-    buckets = [r[0] for r in ids.select(F.pmod(F.xxhash64("node"), F.lit(ID_BUCKETS)).cast("int").alias("k")).distinct().collect()]
-    wanted = np.zeros(ID_BUCKETS, bool)
-    wanted[buckets] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast((_bits(pairs, "a"), _bits(pairs, "b")))
 
-    def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, bits = Shingler(n), np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            batch = batch[bits[batch["k"].to_numpy()]]
-            yield pd.DataFrame({"node": batch["doc_id"].to_numpy(np.int64), "values": [shingler(t) for t in batch["text"]]})
+    def chooser():
+        first, second = (np.unpackbits(x).view(bool) for x in shared.value)
+
+        def chosen(batch: dict) -> dict:
+            rows = [(d, t, first[k], second[k]) for d, t, k in zip(batch["doc_id"], batch["text"], batch["k"]) if first[k] or second[k]]
+            return dict(zip(("node", "text", "first", "second"), zip(*rows) if rows else [()] * 4))
+
+        return chosen
+
+    def comparer():
+        shingler, known = Shingler(n), {}
+
+        def compared(batch: dict) -> dict:
+            a, b = [], []
+            for one, two, text_a, text_b in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
+                if known.get("text") != text_a:  # pairs of one leader come one after another
+                    known.update(text=text_a, values=shingler(text_a))
+                left, right = known["values"], shingler(text_b)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                if rule.den * both >= rule.num * (len(left) + len(right) - both):
+                    a.append(one)
+                    b.append(two)
+            return {"a": a, "b": b}
+
+        return compared
 
     keyed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("k"))
-    return written(keyed.mapInPandas(computed, "node long, values array<long>").join(ids.distinct(), "node", "left_semi"), "sets")
+    texts = written(mapped(keyed, chooser, "node long, text string, first boolean, second boolean"), "texts")
+    left = texts.filter("first").select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.filter("second").select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    return mapped(both, comparer, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("values").alias("va"))
-    right = sets.select(F.col("node").alias("b"), F.col("values").alias("vb"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("va", "vb"))
-    union = F.size("va") + F.size("vb") - shared
-    return both.filter(F.lit(rule.den) * shared >= F.lit(rule.num) * union).select("a", "b").distinct()
+def _need(rule: Rule) -> Column:
+    """Rule.overlap of the sizes na and nb."""
+    return F.ceil(F.lit(rule.num) * (F.col("na") + F.col("nb")) / F.lit(rule.num + rule.den))
 
 
-def _sizes_fit(a: Column, b: Column, rule: Rule) -> Column:
-    return F.lit(rule.den) * F.least(a, b) >= F.lit(rule.num) * F.greatest(a, b)
+def _can_be(rule: Rule) -> Column:
+    """Whether sets whose first common element stands at pa and pb can be similar. A later common
+    element may fail where the first one passes, so no similar pair is lost."""
+    return F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _need(rule)
 
 
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,32 +308,37 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: s
     rule = Rule(num, den)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hashed = written(_hashed(docs, n, rule, _frequent(docs, n)), "hashed")
-    first = F.min_by(F.struct("n", "prefix", "small"), "doc_id").alias("own")
+    first = F.min_by(F.struct("n", "head", "take", "rare", "small"), "doc_id").alias("own")
     classes = hashed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("held"), first)
     nodes = written(classes.select("sig", "node", "held", "own.*"), "nodes")
 
     most = _boundary(nodes, rule)
-    large = nodes.filter(F.col("n") >= rule.smallest(most + 1)).select("node", "n", "prefix")
-    lists = large.select("node", "n", F.explode("prefix").alias("shingle"))
-    # Leaders of lists by size class, as sets of other sizes can't be similar to them.
-    width = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("width") if num < den else F.col("n").alias("width")
-    stars = _starred(lists.withColumn("width", width), ["shingle", "width"])
-    tested = written(stars.filter(_sizes_fit(F.col("na"), F.col("nb"), rule)).select("a", "b").distinct(), "stars")
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    edges = written(_similar(tested, _sets(docs, n, ends(tested)), rule).unionByName(_small_links(nodes, rule, most)), "links")
+    large = nodes.filter(F.col("n") >= rule.smallest(most + 1))
+    lists = large.select("node", "n", "rare", F.posexplode(F.slice("head", F.lit(1), F.col("take"))).alias("pos", "shingle"))
+    often = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("shingle")
+    lists = written(lists.join(often, "shingle"), "lists")
+    # Leaders of lists by size class, as sets of other sizes can't be similar to them. The set with
+    # the fewest elements of its own is the likeliest to be what near copies were made from.
+    width = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))) if num < den else F.col("n")
+    stars = _starred(lists.withColumn("width", width), ["shingle", "width"], ["rare", "n", "node"])
+    tested = written(stars.filter(_can_be(rule)).select("a", "b").distinct(), "stars")
+    edges = written(_similar(written(_likely(tested, nodes, rule), "likely"), docs, n, rule).unionByName(_small_links(nodes, rule, most)), "links")
     found = components(edges)
 
     # What is left: sets that share a list and are not yet in one component.
-    placed = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = placed.select("node", "n", "component", F.explode("prefix").alias("shingle"))
-    mixed = lists.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = lists.join(mixed.select("shingle"), "shingle")
-    one, two = rest.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), rest.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = one.join(two, "shingle").filter((F.col("ca") < F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), rule)).select("a", "b").distinct()
+    placed = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A list's main component is only met by the sets outside it, so its members don't meet each other.
+    held = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("held"))
+    mixed = held.groupBy("shingle").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    rest = written(placed.join(mixed.filter("parts > 1").select("shingle", "main"), "shingle"), "mixed")
+    outside = rest.filter("component <> main").select("shingle", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    every = rest.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+    once = (F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("main"))
+    pairs = outside.join(every, "shingle").filter((F.col("ca") != F.col("cb")) & once & _can_be(rule)).select("a", "b").distinct()
     known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = written(pairs.join(known, ["a", "b"], "left_anti"), "rest")
+    pairs = written(_likely(pairs.join(known, ["a", "b"], "left_anti"), nodes, rule), "rest")
     if not pairs.isEmpty():
-        more = written(_similar(pairs, _sets(docs, n, ends(pairs)), rule), "links")
+        more = written(_similar(pairs, docs, n, rule), "links")
         if not more.isEmpty():
             found = components(edges.unionByName(more))
 
