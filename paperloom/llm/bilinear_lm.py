@@ -1,9 +1,14 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-Words are grouped into symbols: the most frequent ones are symbols of their own, other frequent
-words share a symbol by frequency, and all rare words share one. The two symbols before a word
-predict its symbol; inside a symbol a word has its share of the corpus. What the model learns
-from, counts of words and of runs of three symbols, covers all training documents.
+Every known word has a vector as a word before another (one for each of the two places) and as a
+word that comes. A word is predicted in three steps, each from the vectors of the two words before
+it: its symbol, the group inside the symbol, the word inside the group. Frequent words are symbols
+of their own, other known words share one by frequency, and all rare words share one; groups hold
+words whose vectors are alike. Each step is normalised over its own choices only.
+
+The symbols' table over pairs of symbols is fitted first, and the vectors learn what it leaves.
+They are trained on counts of runs of three words, which Spark tasks gather from all training
+documents and deal out by the run.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, least_count, mapped, written
+from .common import crc_mod, least_count, mapped, partitions, written
 
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Words whose counts and symbols every task knows, at most; they are broadcast. All other words
@@ -28,6 +33,11 @@ SINGLE, BANDS = 64, 30
 RARE, START = SINGLE + BANDS, SINGLE + BANDS + 1
 SYMBOLS = SINGLE + BANDS + 2
 DIMENSIONS, NOISE, STEPS, RATE = 24, 10, 150, 0.05
+#: Of the words' vectors: their length, drawn words, rate, passes over the counts, runs of three
+#: words that are worked on at a time and in one product, and rows that travel together.
+WIDTH, DRAWN, WORD_RATE, ROUNDS, AT_ONCE, IN_CACHE, BLOCK = 16, 10, 0.1, 2, 1 << 17, 2048, 4096
+#: Tokens whose runs a task sums before it hands them on, and bits of a word's number in a run.
+HELD_TOKENS, BITS = 1 << 20, 20
 #: The token after the last word; no word is empty.
 END = b""
 
@@ -60,6 +70,10 @@ class Lexicon:
     def index(self) -> dict[bytes, int]:
         return dict(zip(self.words, range(len(self.words))))
 
+    def run_symbol(self) -> np.ndarray:
+        """Symbol of a word's number in a run, where two more stand for rare words and the start."""
+        return np.r_[self.symbol, START]
+
 
 def contexts(symbols: np.ndarray) -> np.ndarray:
     """Cell of (symbol two before, symbol before) of each token of a document."""
@@ -125,29 +139,325 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def _cell_counts(train: DataFrame, lexicon) -> pd.DataFrame:
-    """Counts of runs of three symbols; there are at most SYMBOLS^3, whatever the input."""
+def runs_of(at: np.ndarray, known: int) -> np.ndarray:
+    """Runs of three words of a document, each as one number; ``at`` has -1 for a rare word."""
+    at = np.where(at < 0, known, at)
+    padded = np.r_[known + 1, known + 1, at]
+    return padded[:-2] << 2 * BITS | padded[1:-1] << BITS | at
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _packed(bucket: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    steps = np.diff(keys, prepend=0).astype(np.int64)
+    return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [steps.tobytes()], "n": [n.astype(np.int64).tobytes()]}, _PACKED)
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
+        yield np.cumsum(np.frombuffer(keys, np.int64)), np.frombuffer(n, np.int64)
+
+
+def run_counts(train: DataFrame, lexicon) -> DataFrame:
+    """Counts of all runs of three words, as packed rows; a run is in one partition only."""
+    parts = partitions(train.sparkSession)
+    buckets = 4 * parts
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
-        index, total = known.index(), np.zeros(SYMBOLS**3, np.int64)
+        index, size = known.index(), len(known.words)
+        held: list[np.ndarray] = []
+        tokens = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, n = keys[starts], np.diff(np.r_[starts, len(keys)])
+            bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[b] : bounds[b + 1]]
+                yield _packed(int(b), keys[own], n[own])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                symbols = known.symbol[np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))]
-                np.add.at(total, contexts(symbols) * SYMBOLS + symbols, 1)
+                held.append(runs_of(np.fromiter((index.get(w, -1) for w in words), np.int64, len(words)), size))
+                tokens += len(words)
+                if tokens >= HELD_TOKENS:
+                    yield from out()
+                    held, tokens = [], 0
+        if tokens:
+            yield from out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [p for batch in batches for p in _unpacked(batch)]
+        if pairs:
+            keys, n = _summed(np.concatenate([k for k, _ in pairs]), np.concatenate([n for _, n in pairs]))
+            # In an order of chance, so that what is worked on at a time is a fair part of all.
+            place = np.random.default_rng(len(keys)).integers(max(1, -(-len(keys) // (AT_ONCE // 2))), size=len(keys))
+            for i in range(int(place.max()) + 1):
+                own = np.flatnonzero(place == i)
+                yield _packed(i, keys[own], n[own])
+
+    schema = "bucket int, keys binary, n binary"
+    return written(train.select("text").mapInArrow(counted, schema).repartition(parts, "bucket").mapInArrow(merged, schema), "runs")
+
+
+def _cell_counts(runs: DataFrame, lexicon) -> pd.DataFrame:
+    """Counts of runs of three symbols; there are at most SYMBOLS^3, whatever the input."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = lexicon.value.run_symbol()
+        total, mask = np.zeros(SYMBOLS**3, np.int64), (1 << BITS) - 1
+        for batch in batches:
+            for keys, n in _unpacked(batch):
+                cells = (symbol[keys >> 2 * BITS] * SYMBOLS + symbol[keys >> BITS & mask]) * SYMBOLS + symbol[keys & mask]
+                total += np.bincount(cells, n, SYMBOLS**3).astype(np.int64)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": cells.astype(np.int32), "n": total[cells]}, pa.schema([("cell", pa.int32()), ("n", pa.int64())]))
 
-    rows = train.select("text").mapInArrow(counted, "cell int, n long")
+    rows = runs.mapInArrow(counted, "cell int, n long")
     return rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
 
 
+class Groups:
+    """Groups of words inside symbols. Words stand in an order in which a group's, and a symbol's
+    groups, are neighbours; what a word or group has of its parent's count is its share."""
+
+    def __init__(self, lexicon: Lexicon, groups: list[np.ndarray]):
+        self.symbol = lexicon.symbol[:-1]
+        grouped = [g for g in groups if len(g)]
+        self.words = np.concatenate(grouped) if grouped else np.zeros(0, np.int64)
+        self.starts = np.r_[0, np.cumsum([len(g) for g in grouped])].astype(np.int64)
+        self.place = np.full(len(lexicon.words) + 2, -1)
+        self.place[self.words] = np.arange(len(self.words))
+        self.group = np.repeat(np.arange(len(grouped)), np.diff(self.starts))
+        counts = lexicon.counts[self.words].astype(float)
+        mass = np.add.reduceat(counts, self.starts[:-1]) if grouped else np.zeros(0)
+        self.parent = self.symbol[self.words[self.starts[:-1]]] if grouped else np.zeros(0, np.int64)
+        of_symbol = np.bincount(self.parent, mass, SYMBOLS)
+        self.word_share = np.log(counts / mass[self.group]).astype(np.float32)
+        self.group_share = np.log(mass / of_symbol[self.parent]).astype(np.float32)
+        self.group_starts = np.searchsorted(self.parent, np.arange(SYMBOLS + 1))
+        self.word_sums, self.group_sums = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(mass)]
+
+
+def bands(lexicon: Lexicon) -> Groups:
+    """One group for every symbol that has several words."""
+    order = np.argsort(lexicon.symbol[:-1], kind="stable")
+    bounds = np.searchsorted(lexicon.symbol[:-1][order], np.arange(SINGLE, RARE + 1))
+    return Groups(lexicon, [order[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+
+
+def halved(words: np.ndarray, vectors: np.ndarray, most: int) -> list[np.ndarray]:
+    """Parts of at most ``most`` words; each cut is across the direction in which vectors differ most."""
+    if len(words) <= most:
+        return [words]
+    own = vectors[words] - vectors[words].mean(0)
+    along = own @ np.linalg.eigh(own.T @ own)[1][:, -1]
+    order = words[np.argsort(along, kind="stable")]
+    return halved(order[: len(order) // 2], vectors, most) + halved(order[len(order) // 2 :], vectors, most)
+
+
+def regrouped(lexicon: Lexicon, old: Groups, p: dict[str, np.ndarray]) -> tuple[Groups, dict[str, np.ndarray]]:
+    """Groups of about as many words as a symbol has groups; their vectors start at their words' mean."""
+    vectors = np.zeros((len(lexicon.words), WIDTH), np.float32)
+    vectors[old.words] = p["word"]
+    parts = [g for a, b in zip(old.starts[:-1], old.starts[1:]) for g in halved(old.words[a:b], vectors, max(8, int((b - a) ** 0.5)))]
+    new = Groups(lexicon, parts)
+    share = np.exp(new.word_share)[:, None]
+    mean = np.add.reduceat(share * vectors[new.words], new.starts[:-1]) if len(parts) else np.zeros((0, WIDTH))
+    return new, p | {"group": mean.astype(np.float32), "word": (vectors[new.words] - mean[new.group]).astype(np.float32)}
+
+
+def started(lexicon: Lexicon, groups: Groups, seed: int = 7) -> dict[str, np.ndarray]:
+    """Vectors of the words before are drawn; all others are zero, at which the symbols' table and shares hold."""
+    rng = np.random.default_rng(seed)
+    sizes = {"one": len(lexicon.words) + 2, "two": len(lexicon.words) + 2, "symbol": SYMBOLS, "group": len(groups.parent), "word": len(groups.words)}
+    return {k: (rng.normal(0, 0.3, (n, WIDTH)) if k in ("one", "two") else np.zeros((n, WIDTH))).astype(np.float32) for k, n in sizes.items()}
+
+
+def _rows(at: np.ndarray, rows: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of each number in ``at``."""
+    if not ordered:
+        order = np.argsort(at)
+        at, rows = at[order], rows[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[starts], np.add.reduceat(rows, starts)
+
+
+def _drawn_below(up: dict, p: dict, kind: str, child: np.ndarray, parent: np.ndarray, starts: np.ndarray, sums: np.ndarray, context: np.ndarray, back: np.ndarray, n: np.ndarray, rng) -> None:
+    """One step of the estimation among the children of a parent; rows are in order of the child.
+
+    Each parent's noise is drawn from its children by their counts, which also are the model's
+    score at a vector of zero, so the odds are the bilinear part alone."""
+    if not len(child):
+        return
+    vectors, log_k = p[kind], np.float32(np.log(DRAWN))
+    own = vectors[child]
+    real = n / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", context, own) - log_k, 30)))
+    back += real[:, None] * own
+    up[kind].append(_rows(child, real[:, None] * context, ordered=True))
+    begins = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+    ends, of = np.r_[begins[1:], len(parent)], parent[begins]
+    low, high = sums[starts[of]], sums[starts[of + 1]]
+    noise = np.searchsorted(sums, low[:, None] + rng.random((len(of), DRAWN)) * (high - low)[:, None], "right") - 1
+    noise = np.clip(noise, starts[of][:, None], starts[of + 1][:, None] - 1)
+    slopes = np.empty((len(of), DRAWN, WIDTH), np.float32)
+    for i, (a, b) in enumerate(zip(begins, ends)):
+        rows, drawn = context[a:b], vectors[noise[i]]
+        slope = -n[a:b, None] / (1 + np.exp(np.minimum(log_k - rows @ drawn.T, 30)))
+        back[a:b] += slope @ drawn
+        slopes[i] = slope.T @ rows
+    up[kind].append((noise.ravel(), slopes.reshape(-1, WIDTH)))
+
+
+def step(p: dict, square: dict, groups: Groups, symbol: np.ndarray, table: np.ndarray, noise: np.ndarray, keys: np.ndarray, n: np.ndarray, rng) -> None:
+    """One step on some runs: their words against drawn symbols, groups and words; changes ``p`` and ``square``."""
+    mask = (1 << BITS) - 1
+    last = keys & mask
+    # In the order symbol, group, word: rows of one parent are neighbours in every step.
+    order = np.argsort(symbol[last] * len(groups.place) + groups.place[last])
+    keys, n, last = keys[order], n[order].astype(np.float32), last[order]
+    two, one, own = keys >> 2 * BITS, keys >> BITS & mask, symbol[last]
+    context = p["one"][one] + p["two"][two]
+    back = np.zeros_like(context)
+    up: dict[str, list] = {k: [] for k in p}
+
+    drawn = rng.choice(SYMBOLS, DRAWN, p=noise)
+    against = np.log(DRAWN * noise).astype(np.float32)
+    others, flat = p["symbol"][drawn], table.ravel()
+    for i in range(0, len(keys), IN_CACHE):
+        at = slice(i, i + IN_CACHE)
+        rows, sym, cell = context[at], own[at], (symbol[two[at]] * SYMBOLS + symbol[one[at]]) * SYMBOLS
+        mine = p["symbol"][sym]
+        real = n[at] / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", rows, mine) + flat[cell + sym] - against[sym], 30)))
+        false = -n[at, None] / (1 + np.exp(np.minimum(against[drawn] - rows @ others.T - flat[cell[:, None] + drawn], 30)))
+        back[at] = real[:, None] * mine + false @ others
+        up["symbol"] += [_rows(sym, real[:, None] * rows, ordered=True), (drawn, false.T @ rows)]
+
+    a, b = np.searchsorted(own, [SINGLE, RARE])
+    place = groups.place[last[a:b]]
+    group = groups.group[place]
+    _drawn_below(up, p, "group", group, own[a:b], groups.group_starts, groups.group_sums, context[a:b], back[a:b], n[a:b], rng)
+    _drawn_below(up, p, "word", place, group, groups.starts, groups.word_sums, context[a:b], back[a:b], n[a:b], rng)
+    up["one"].append((one, back))
+    up["two"].append((two, back))
+    for k, parts in up.items():
+        if parts:
+            at, g = _rows(np.concatenate([a for a, _ in parts]), np.concatenate([g for _, g in parts]))
+            square[k][at] += g * g
+            p[k][at] += WORD_RATE * g / np.sqrt(square[k][at])
+
+
+def trained(runs: DataFrame, lexicon: Lexicon, groups: Groups, p: dict[str, np.ndarray], table: np.ndarray, tokens: int, turn: int) -> dict[str, np.ndarray]:
+    """``p`` after a pass over all runs: every task starts at ``p`` and goes through its own share;
+    a row moves by the mean of its moves over the tasks that moved it."""
+    spark = runs.sparkSession
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, runs.rdd.getNumPartitions()))
+    at_once = int(np.clip(tokens // (64 * tasks), 1024, AT_ONCE))
+    noise = np.bincount(lexicon.symbol[:-1], lexicon.counts, SYMBOLS) + 0.5
+    noise[RARE] += lexicon.rare_tokens
+    noise[START] = 1e-3
+    shared = spark.sparkContext.broadcast((lexicon.run_symbol(), groups, p, (table * np.log(10)).astype(np.float32), noise / noise.sum()))
+    arrow = pa.schema([("kind", pa.string()), ("block", pa.int32()), ("moved", pa.binary()), ("by", pa.binary())])
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, groups, first, table, noise = shared.value
+        own, square = {k: v.copy() for k, v in first.items()}, {k: np.ones_like(v) for k, v in first.items()}
+        rng = np.random.default_rng(turn)
+        held: list[tuple] = []
+        size = 0
+
+        def work() -> None:
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            order = rng.permutation(len(keys)) if len(keys) > at_once else np.arange(len(keys))
+            for i in range(0, len(keys), at_once):
+                step(own, square, groups, symbol, table, noise, keys[order[i : i + at_once]], n[order[i : i + at_once]], rng)
+
+        for batch in batches:
+            for pair in _unpacked(batch):
+                held.append(pair)
+                size += len(pair[0])
+                if size >= at_once:
+                    work()
+                    held, size = [], 0
+        if size:
+            work()
+        for k in own:
+            for at in range(0, len(own[k]), BLOCK):
+                moved = own[k][at : at + BLOCK] - first[k][at : at + BLOCK]
+                if moved.any():
+                    yield pa.RecordBatch.from_pydict({"kind": [k], "block": [at], "moved": [moved.tobytes()], "by": [moved.any(1).astype(np.int64).tobytes()]}, arrow)
+
+    def added(of: pa.Table) -> pa.Table:
+        moved = sum(np.frombuffer(x, np.float32).astype(float) for x in of["moved"].to_pylist()).reshape(-1, WIDTH)
+        by = np.maximum(1, sum(np.frombuffer(x, np.int64) for x in of["by"].to_pylist()))
+        mean = moved / by[:, None]
+        return pa.table({"kind": of["kind"][:1], "block": of["block"][:1], "moved": [mean.astype(np.float32).tobytes()], "by": [b""]}, schema=arrow)
+
+    schema = "kind string, block int, moved binary, by binary"
+    rows = runs.coalesce(tasks).mapInArrow(worked, schema).groupBy("kind", "block").applyInArrow(added, schema).select("kind", "block", "moved").toArrow()
+    after = {k: v.copy() for k, v in p.items()}
+    for kind, block, moved in zip(*(rows[c].to_pylist() for c in ("kind", "block", "moved"))):
+        after[kind][block : block + BLOCK] += np.frombuffer(moved, np.float32).reshape(-1, WIDTH)
+    shared.destroy()
+    return after
+
+
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    x -= top[:, None]
+    return top + np.log(np.exp(x, out=x).sum(1))
+
+
+def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[str, np.ndarray], table: np.ndarray) -> np.ndarray:
+    """ln P(last word | the two before) of runs; of a rare word, that of its symbol. ``table`` is in ln."""
+    mask, out = (1 << BITS) - 1, np.empty(len(keys))
+    last = keys & mask
+    order = np.argsort(symbol[last] * len(groups.place) + groups.place[last])
+    keys, last = keys[order], last[order]
+    two, one, own = keys >> 2 * BITS, keys >> BITS & mask, symbol[last]
+    context = p["one"][one] + p["two"][two]
+    found, cell = np.empty(len(keys)), symbol[two] * SYMBOLS + symbol[one]
+    for i in range(0, len(keys), IN_CACHE):
+        at = slice(i, i + IN_CACHE)
+        scores = table.take(cell[at], axis=0)
+        scores += context[at] @ p["symbol"].T
+        found[at] = scores[np.arange(len(scores)), own[at]] - _log_sums(scores)
+
+    a, b = np.searchsorted(own, [SINGLE, RARE])
+    place = groups.place[last[a:b]]
+    group, rows = groups.group[place], context[a:b]
+    for child, parent, starts, kind, share in (
+        (group, own[a:b], groups.group_starts, "group", groups.group_share), (place, group, groups.starts, "word", groups.word_share),
+    ):
+        begins = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(parent) else []
+        for i, j in zip(begins, [*begins[1:], len(parent)]):
+            low, high = starts[parent[i]], starts[parent[i] + 1]
+            if high - low > 1:
+                x = rows[i:j] @ p[kind][low:high].T + share[low:high]
+                found[a + i : a + j] += x[np.arange(j - i), child[i:j] - low] - _log_sums(x)
+    out[order] = found
+    return out
+
+
 class Model:
-    """A fitted model: the words' counts as a table, the known words, and the symbols' table."""
+    """A fitted model: the words' counts as a table, the known words, the symbols' table, and the
+    groups and vectors."""
 
-    def __init__(self, counts: DataFrame, lexicon: Lexicon, table: np.ndarray):
-        self.counts, self.lexicon, self.table = counts, lexicon, table
+    def __init__(self, counts: DataFrame, lexicon: Lexicon, table: np.ndarray, groups: Groups, vectors: dict[str, np.ndarray]):
+        self.counts, self.lexicon, self.table, self.groups, self.vectors = counts, lexicon, table, groups, vectors
 
 
 def learn(docs: DataFrame) -> Model:
@@ -159,8 +469,16 @@ def learn(docs: DataFrame) -> Model:
     frequent = counts.filter(F.col("n") >= max(2, least)).toPandas()
     lexicon = Lexicon([bytes(w) for w in frequent["word"]], frequent["n"].to_numpy(), tokens or 0, kinds)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    cells = _cell_counts(train, shared)
-    return Model(counts, lexicon, fit(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float)))
+    runs = run_counts(train, shared)
+    cells = _cell_counts(runs, shared)
+    table = fit(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float))
+    groups = bands(lexicon)
+    vectors = started(lexicon, groups)
+    for turn in range(ROUNDS):
+        vectors = trained(runs, lexicon, groups, vectors, table, lexicon.tokens, turn)
+        if turn == 0:
+            groups, vectors = regrouped(lexicon, groups, vectors)
+    return Model(counts, lexicon, table, groups, vectors)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,26 +489,43 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     end alone. A word that training never saw has the share of one more rare word. Rows that
     repeat are scored alike; other columns aren't looked at; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.table))
+    table = (model.table * np.log(10)).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.groups, model.vectors, table))
     lexicon = model.lexicon
 
     def scorer():
-        known, table = shared.value
-        index = known.index()
+        known, groups, vectors, table = shared.value
+        index, size, symbol = known.index(), len(known.words), known.run_symbol()
 
         def scored(batch: dict) -> dict:
-            out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [], "n_rare": [], "base": [], "model": [], "rare": []}
-            for text in batch["text"]:
+            out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [], "n_rare": [], "base": [], "rare": []}
+            model = np.zeros(len(batch["text"]))
+            held: list[np.ndarray] = []
+            of: list[int] = []
+            tokens = 0
+
+            def add() -> None:
+                keys, lengths = np.concatenate(held), [len(k) for k in held]
+                chances = np.concatenate([log_chances(keys[i : i + AT_ONCE], symbol, groups, vectors, table) for i in range(0, len(keys), AT_ONCE)])
+                model[of] += np.add.reduceat(chances, np.r_[0, np.cumsum(lengths)[:-1]]) / np.log(10)
+
+            for at_row, text in enumerate(batch["text"]):
                 words = words_of(text)
                 at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                symbols = known.symbol[at]
                 out["n_tokens"].append(len(words))
                 out["base"].append(known.log_count[at].sum())
-                out["model"].append(table[contexts(symbols), symbols].sum() + known.log_share[at].sum())
                 rare = Counter([words[i] for i in np.flatnonzero(at < 0)])
                 out["n_rare"].append(rare.total())
                 out["rare"].append([{"word": w, "tf": n} for w, n in rare.items()])
-            return out
+                held.append(runs_of(at, size))
+                of.append(at_row)
+                tokens += len(words)
+                if tokens >= AT_ONCE:
+                    add()
+                    held, of, tokens = [], [], 0
+            if held:
+                add()
+            return out | {"model": model}
 
         return scored
 
