@@ -1,8 +1,10 @@
 """Main text of web pages: the contiguous region of maximum score.
 
-A page is a sequence of words and tags. Words score by where they stand, tags score below zero;
-the weights are log-odds counted on labelled pages. One linear scan finds the contiguous run with
-the greatest sum, which is the main region; its boilerplate parts are then left out.
+A page is a sequence of words and tags. Words score by the block they stand in, how much text
+stands together and links; tags score below zero; the weights are log-odds counted on labelled
+pages. One linear scan finds the contiguous run with the greatest sum, which is the main region on
+every page; its boilerplate parts are then left out. Main containers are labels to count on, never
+a feature of words; the scan only pays for crossing their borders, as for other tags.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from .common import mapped
 
 #: Pages that the weights are counted on, at most.
 SAMPLE_PAGES = 1_000
-#: Share of a region's words that a container must hold so that the region takes its bounds.
-CONTAINED = 0.5
+#: Share of a page's words beside boilerplate that its one container must hold to be a label.
+LABELLED = 0.5
+#: Score of a container's begin or end: a run goes over a row of teaser cards only at a cost.
+BORDER = -30.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
@@ -62,8 +66,8 @@ def _skips(tag: str, attributes: str, in_main: bool) -> bool:
 def parse(page: str) -> tuple[list[tuple], list[tuple[int, int]], list[str]]:
     """Events of a page, spans of its main containers, and the text of its blocks.
 
-    An event is (feature of a tag, 0, -1) or (feature of words, number of words, block). The
-    feature of words is (in a main container, in boilerplate, kind of block, in a link).
+    An event is (tag, or nothing in boilerplate, 0, -1) or (feature of words, number of words,
+    block). The feature of words is (in boilerplate, kind of block, in a link).
     """
     events: list[tuple] = []
     spans: list[tuple[int, int]] = []
@@ -80,7 +84,7 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, int]], list[str]]:
             text = html.unescape(words) if "&" in words else words
             blocks[-1].append(text)
             if n := len(text.split()):
-                events.append(((main > 0, skipped > 0, kind, links > 0), n, len(blocks) - 1))
+                events.append(((skipped > 0, kind, links > 0), n, len(blocks) - 1))
             continue
         tag = m[2] or m[5]
         if tag is None:
@@ -90,7 +94,7 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, int]], list[str]]:
             blocks.append([])
         elif tag == "br":
             blocks[-1].append(" ")
-        events.append((tag, 0, -1))
+        events.append(("" if skipped else tag, 0, -1))
         if closes:
             while open_tags[tag]:
                 name, skips, began = stack.pop()
@@ -120,43 +124,53 @@ def parse(page: str) -> tuple[list[tuple], list[tuple[int, int]], list[str]]:
     return events, spans, [" ".join("".join(b).split()) for b in blocks]
 
 
-def _features(feature: tuple, has_main: bool) -> list[str]:
-    """Names of the weights of words, from the most to the least specific. Pages without a main
-    container have names of their own, as there nothing tells where the article is."""
-    in_main, skips, kind, link = feature
-    head = f"{'in' if in_main else 'out'}:{'skip' if skips else 'text'}" if has_main else f"none:{'skip' if skips else 'text'}"
-    return [f"{head}:{kind}:{'link' if link else 'plain'}", f"{head}:{kind}", head]
+def _features(feature: tuple, n: int) -> list[str]:
+    """Names of the weights of ``n`` words that stand together, from the most to the least specific."""
+    skips, kind, link = feature
+    head = "skip" if skips else "text"
+    size = "few" if n < 5 else "some" if n < 20 else "many"
+    return [f"{head}:{kind}:{size}:{'link' if link else 'plain'}", f"{head}:{kind}", head]
 
 
 def count_page(page: str) -> Counter:
-    """(weight, inside) -> words or tags of a labelled page; its own main container is the label."""
+    """(weight, inside) -> words or tags of a labelled page; its own main container is the label.
+
+    A page with several containers beside each other, or whose container holds the lesser part of
+    its text, as a teaser card does, is no label."""
     events, spans, _ = parse(page)
     counts: Counter = Counter()
-    if not spans:
+    outer = [(a, b) for a, b in spans if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in spans)]
+    if len(outer) != 1:
+        return counts
+    start, end = outer[0]
+    texts = [(start <= i < end, n) for i, (f, n, block) in enumerate(events) if block >= 0 and not f[0]]
+    if sum(n for inside, n in texts if inside) <= LABELLED * sum(n for _, n in texts):
         return counts
     for i, (feature, n, block) in enumerate(events):
-        inside = any(a <= i < b for a, b in spans)
+        inside = start <= i < end
         if block < 0:
             counts[f"tag:{feature}", inside] += 1
             continue
-        inside = inside and not feature[1]
-        for has_main in (True, False):
-            for name in _features(feature, has_main):
-                counts[name, inside] += n
+        for name in _features(feature, n):
+            counts[name, inside and not feature[0]] += n
     return counts
 
 
 #: What holds before any labelled page is seen.
-PRIOR = {"in:text": 3.0, "in:skip": -3.0, "out:text": -2.0, "out:skip": -4.0, "none:text": 0.5, "none:skip": -4.0}
+PRIOR = {"text": 3.0, "skip": -0.1}
 
 
 def weights(counts: dict[tuple[str, bool], float]) -> dict[str, float]:
-    """Log-odds with add-one smoothing. Words keep the sign of nothing; tags stay below zero."""
+    """Log-odds with add-one smoothing. Tags stay below zero, and so does boilerplate: it is left
+    out in any case, so a run may go over it."""
     found = dict(PRIOR)
     for name in {k for k, _ in counts}:
         odds = math.log((counts.get((name, True), 0) + 1) / (counts.get((name, False), 0) + 1))
-        found[name] = min(-0.05, max(-3.0, odds)) if name.startswith("tag:") else max(-6.0, min(6.0, odds))
-    return found
+        if name.startswith("tag:"):
+            found[name] = min(-0.05, max(-0.3, odds))
+        elif not name.startswith("skip"):
+            found[name] = max(-3.0, min(3.0, odds))
+    return found | {"tag:": 0.0} | {f"tag:{t}": BORDER for t in MAIN}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -175,21 +189,16 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The main text of one page. Null, empty and text-free pages give the empty text."""
     if not page:
         return ""
-    events, spans, blocks = parse(page)
-    has_main = bool(spans)
+    events, _, blocks = parse(page)
 
     def score(feature, n, block):
         if block < 0:
-            return weight.get(f"tag:{feature}", -0.5)
-        return n * next((weight[k] for k in _features(feature, has_main) if k in weight), 0.0)
+            return weight.get(f"tag:{feature}", -0.1)
+        return n * next((weight[k] for k in _features(feature, n) if k in weight), 0.0)
 
     start, end = best_run([score(*e) for e in events])
-    words = lambda a, b: sum(n for _, n, _ in events[a:b])
-    held = max(((words(max(a, start), min(b, end)), a - b, a, b) for a, b in spans if a < end and b > start), default=None)
-    if held and held[0] >= CONTAINED * words(start, end) > 0:
-        start, end = held[2], held[3]
     # A block belongs to the region when a run of its words does; boilerplate inside is left out.
-    inside = dict.fromkeys(b for f, _, b in events[start:end] if b >= 0 and not f[1])
+    inside = dict.fromkeys(b for f, _, b in events[start:end] if b >= 0 and not f[0])
     return "\n".join(t for b in inside if (t := blocks[b]))
 
 
