@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 #: Rows of an Arrow batch that are Python values at one time.
 SLICE = 1_000
 
@@ -98,3 +101,16 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def split_words(text: bytes, step: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The runs of characters other than ASCII white space, a list for about every ``step`` bytes, so
+    that a very long text is never split into one list."""
+    at = 0
+    while at < len(text):
+        end = at + step
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.start() if found else len(text)
+        yield text[at:end].split()
+        at = end
