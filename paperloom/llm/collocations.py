@@ -17,20 +17,19 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from . import sketch
 from .common import split_words, written
 
 #: Buckets of word pairs: their bits are broadcast, 2 MB whatever the input.
 BITS = 24
-#: Buckets are summed in chunks of so many, with at most so many tasks' counts in a group.
-CHUNK_BITS, FAN_IN = 16, 256
 #: Bytes of text handled at one time.
 BLOCK = 8 << 20
 #: Parts of a language that are ranked on their own first.
@@ -93,13 +92,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
 def _counted(rows: DataFrame, least: int) -> DataFrame:
     """Occurrences of words a block (lang, word, n), and of a task's pairs a chunk of buckets
     (chunk, task, at, held: positions in the chunk and counts up to ``least`` as packed numbers)."""
-    width = "u2" if least < 1 << 16 else "u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         task = TaskContext.get().partitionId()
-        buckets = np.zeros(1 << BITS, width)
+        buckets = np.zeros(1 << BITS, "u2" if least < 1 << 16 else "u4")
 
         def batch(lang, word, n, chunk, at, held):
             columns = [pa.array(lang, pa.string()), word, pa.array(n, pa.int64()), pa.array(chunk, pa.int32()), pa.array([task] * len(chunk), pa.int32()), pa.array(at, pa.binary()), pa.array(held, pa.binary())]
@@ -114,45 +110,20 @@ def _counted(rows: DataFrame, least: int) -> DataFrame:
             langs = pa.array(block.names, pa.string()).take(pa.array(keys // len(block.words)))
             none = [None] * len(keys)
             yield batch(langs, words, n, none, none, none)
-        for chunk in range(1 << (BITS - CHUNK_BITS)):
-            part = buckets[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield batch([None], pa.array([None], pa.string()), [None], [chunk], [at.astype("u2").tobytes()], [part[at].tobytes()])
+        for chunk, at, held in sketch.chunks(buckets):
+            yield batch([None], pa.array([None], pa.string()), [None], [chunk], [at], [held])
 
     return rows.mapInArrow(run, "lang string, word string, n long, chunk int, task int, at binary, held binary")
 
 
 def _frequent_pairs(counted: DataFrame, least: int) -> np.ndarray:
     """Bits of the buckets that hold ``least`` pairs or more."""
-    width = "u2" if least < 1 << 16 else "u4"
-
-    def summed(rows: pd.DataFrame) -> np.ndarray:
-        total = np.zeros(1 << CHUNK_BITS, np.int64)
-        for at, held in zip(rows["at"], rows["held"]):
-            total[np.frombuffer(at, "u2")] += np.frombuffer(held, width)
-        return np.minimum(total, least)
-
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        total = summed(rows)
-        at = np.flatnonzero(total)
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "at": [at.astype("u2").tobytes()], "held": [total[at].astype(width).tobytes()]})
-
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(summed(rows) >= least).tobytes()]})
-
-    sketch = counted.filter("chunk IS NOT NULL").select("chunk", F.floor(F.col("task") / FAN_IN).cast("int").alias("part"), "at", "held")
-    parts = sketch.groupBy("chunk", "part").applyInPandas(merged, "chunk int, at binary, held binary")
-    bits = np.zeros((1 << BITS) // 8, np.uint8)
-    step = (1 << CHUNK_BITS) // 8
-    for row in parts.groupBy("chunk").applyInPandas(packed, "chunk int, bits binary").collect():
-        bits[row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
-    return bits
+    return sketch.collected(counted.filter("chunk IS NOT NULL"), 1 << BITS, lambda total: np.packbits(total >= least))
 
 
 def _grams(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """lang, gram, k, n: what starts at every word whose next pair may be frequent, ``longest`` words
-    or as many as there are before the cut, counted a block. Those of ``longest`` words are edges."""
+    """lang, gram, k: what starts at every word whose next pair may be frequent, ``longest`` words or
+    as many as there are before the cut. Those of ``longest`` words are edges."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,21 +138,15 @@ def _grams(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
                 on[: len(on) - step] &= goes[step:]
                 on[len(on) - step :] = False
             at = np.flatnonzero(goes)
-            if not len(at):
-                continue
             size = k[at]
-            names = [f"w{i}" for i in range(longest)]
             padded = np.concatenate([block.ids, np.zeros(longest, np.int32)])
-            words = {name: np.where(size > i, padded[at + i], -1) for i, name in enumerate(names)}
-            found = pa.table({"lang": block.langs[at], "k": size, **words}).group_by(["lang", "k", *names]).aggregate([([], "count_all")])
-            dictionary = pa.array(block.words, pa.binary())
-            parts = [dictionary.take(pc.if_else(pc.less(found[name], 0), pa.scalar(None, pa.int32()), found[name].cast(pa.int32()))) for name in names]
+            words = pa.array(block.words, pa.binary())
+            parts = [words.take(pa.array(padded[at + i], mask=size <= i)) for i in range(longest)]
             gram = pc.binary_join_element_wise(*parts, pa.scalar(b" "), null_handling="skip").cast(pa.string())
-            lang = pa.array(block.names, pa.string()).take(found["lang"].combine_chunks())
-            out = pa.table({"lang": lang, "gram": gram, "k": found["k"].cast(pa.int32()), "n": found["count_all"].cast(pa.int64())})
-            yield from out.combine_chunks().to_batches()
+            lang = pa.array(block.names, pa.string()).take(pa.array(block.langs[at]))
+            yield pa.RecordBatch.from_arrays([lang, gram, pa.array(size)], names=["lang", "gram", "k"])
 
-    return rows.mapInArrow(run, "lang string, gram string, k int, n long")
+    return rows.mapInArrow(run, "lang string, gram string, k int")
 
 
 def _first(gram: str, k: int | Column) -> Column:
@@ -194,7 +159,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang: str
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counted = written(_counted(rows, least), "counted")
     words = written(counted.filter("chunk IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    edges = _grams(rows, _frequent_pairs(counted, least), longest).groupBy("lang", "gram", "k").agg(F.sum("n").alias("n"))
+    edges = _grams(rows, _frequent_pairs(counted, least), longest).groupBy("lang", "gram", "k").agg(F.count(F.lit(1)).alias("n"))
     edges = written(edges, "edges")
     flow = edges.filter(F.col("k") == longest).select("lang", "gram", "n")
     found = flow.filter(F.col("n") >= least).withColumn("k", F.lit(longest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 BUCKETS = 1 << 16
 SALTS = 64
@@ -65,12 +65,13 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Nulls and empty tables as in ``exact_groups``.
     """
     names = docs.columns
+    of, sha, stays, place = free_names(docs, "of", "sha", "stays", "place")
     body = F.coalesce(F.col(text), F.lit(""))
     gone = exact_groups(docs, doc_id, text).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("stays"))
     # Only ids with something to drop take part: a document without a copy isn't looked up.
-    gone = gone.filter(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("stays").alias("_stays"))
-    marked = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.sha2(body, 256) == F.col("_gone_sha")), "left")
-    single = marked.filter(F.col("_stays").isNull()).select(*names)
-    again = marked.filter(F.col("_stays"))
-    turn = F.row_number().over(Window.partitionBy("_gone_id", "_gone_sha").orderBy(*[c for c, t in docs.dtypes if not t.startswith("map")]))
-    return single.unionByName(again.withColumn("_turn", turn).filter("_turn = 1").select(*names))
+    gone = gone.filter(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha), F.col("stays").alias(stays))
+    marked = docs.join(gone, F.col(doc_id).eqNullSafe(F.col(of)) & (F.sha2(body, 256) == F.col(sha)), "left")
+    single = marked.filter(F.col(stays).isNull()).select(*names)
+    again = marked.filter(F.col(stays))
+    turn = F.row_number().over(Window.partitionBy(of, sha).orderBy(*[c for c, t in docs.dtypes if not t.startswith("map")]))
+    return single.unionByName(again.withColumn(place, turn).filter(F.col(place) == 1).select(*names))

@@ -2,18 +2,18 @@
 
 The token share of each source is raised to an exponent that a bracketing search finds, so that
 the mixture reaches a target entropy without repeating any source more often than allowed. Each
-source's documents lie in blocks; every epoch takes its blocks in an order of its own, until the
-source's part of the budget is used up.
+source's documents lie in blocks; every epoch takes its blocks in a permutation of its own, until
+the source's part of the budget is used up.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 #: Blocks that a source's documents are dealt into; a budget is met to within one block.
 BLOCKS = 256
@@ -73,13 +73,13 @@ def draws(
     docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE, most_repeats: float = MOST_REPEATS,
     doc_id: str = "doc_id", source: str = "source", text: str = "text",
 ) -> DataFrame:
-    """source, block, place, weight, epochs, copies of every block that has a document.
+    """source, weight, epochs, block, epoch, place of every block that is drawn, once for each epoch.
 
-    ``budget`` is in tokens, all tokens of the table if not given. ``copies`` is how often each
-    document of the block is drawn: once for every full epoch and once more if the block is among
-    the first, in the order of the last epoch, that fit into what is left of the source's part.
-    A null source is a source of its own. Sources without a token get weight 0 and one copy, as
-    their documents cost nothing.
+    ``budget`` is in tokens, all tokens of the table if not given. Every epoch takes a source's blocks
+    in an order of its own. In the last epoch, which the source's part of the budget doesn't fill, a
+    block is taken if that brings the tokens nearer to the part; one that doesn't is passed over, and
+    later ones may still be taken. A null source is a source of its own. Sources without a token have
+    weight 0 and one epoch, as their documents cost nothing. Of equal hashes the lower block comes first.
     """
     blocks = docs.groupBy(F.col(source).alias("source"), _block(doc_id).alias("block")).agg(F.sum(_tokens(text)).alias("tokens"))
     blocks = written(blocks, "blocks")
@@ -91,32 +91,51 @@ def draws(
     a = exponent(filled, budget / max(1, all_tokens), entropy_share, most_repeats)
     z = filled.agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
     weight = F.when(F.col("total") > 0, F.pow("p", F.lit(a)) / F.lit(z)).otherwise(F.lit(0.0))
-    weighted = sources.select(F.col("source").alias("_source"), "total", F.round(weight, 9).alias("weight"))
+    weighted = sources.select(F.col("source").alias("same"), "total", F.round(weight, 9).alias("weight"))
     epochs = F.when(F.col("total") > 0, F.col("weight") * F.lit(float(budget)) / F.col("total")).otherwise(F.lit(1.0))
     weighted = weighted.withColumn("epochs", F.round(epochs, 6)).withColumn("full", F.floor("epochs").cast("int"))
-    placed = blocks.join(weighted, F.col("source").eqNullSafe(F.col("_source")))
-    # A source has at most BLOCKS rows here, whatever its number of documents.
-    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", "full"), "block")
-    used = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    more = (used <= (F.col("epochs") - F.col("full")) * F.col("total")).cast("int")
-    return placed.select("source", "block", F.row_number().over(order).alias("place"), "weight", "epochs", (F.col("full") + more).alias("copies"))
+    placed = blocks.join(weighted, F.col("source").eqNullSafe(F.col("same")))
+    each = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full"))))
+    # A source has at most BLOCKS rows an epoch, whatever its number of documents.
+    ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64("source", "epoch", "block").alias("h"), "block", "tokens"))).alias("order")
+    ordered = each.groupBy("source", "weight", "epochs", "full", "total", "epoch").agg(ordered)
+    part = F.when(F.col("epoch") < F.col("full"), F.col("total").cast("double")).otherwise((F.col("epochs") - F.col("full")) * F.col("total"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("blocks"))
+
+    def taken(held: Column, one: Column) -> Column:
+        fits = (F.col("epoch") < F.col("full")) | (held["used"] + one["tokens"] / 2.0 < part)
+        more = F.struct((held["used"] + one["tokens"]).alias("used"), F.concat(held["blocks"], F.array(one["block"])).alias("blocks"))
+        return F.when(fits, more).otherwise(held)
+
+    chosen = ordered.withColumn("blocks", F.aggregate("order", start, taken)["blocks"])
+    return chosen.select("source", "weight", "epochs", "epoch", F.posexplode("blocks").alias("place", "block"))
 
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, n_tokens, block, place, weight, copies of every document.
+    """doc_id, source, n_tokens, block, weight, epochs, copies, places of every document: how often it
+    is drawn, and the place of its block in every epoch that draws it.
 
     Rows that repeat are drawn alike; an empty table gives no rows; other columns aren't looked at.
     """
-    plan = written(draws(docs, **options), "draws").withColumnsRenamed({"source": "_source", "block": "_block"})
+    plan = written(draws(docs, **options), "draws")
+    by_block = plan.groupBy("source", "block").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.array_sort(F.collect_list(F.struct("epoch", "place"))).alias("places"))
+    weights = plan.groupBy("source").agg(F.first("weight").alias("weight"), F.first("epochs").alias("epochs"))
     rows = docs.select("doc_id", "source", _tokens("text").alias("n_tokens"), _block("doc_id").alias("block"))
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
-    return joined.select("doc_id", "source", "n_tokens", "block", "place", "weight", "copies")
+    by_block = by_block.withColumnsRenamed({"source": "same", "block": "held"})
+    rows = rows.join(by_block, F.col("source").eqNullSafe(F.col("same")) & (F.col("block") == F.col("held")), "left").drop("same", "held")
+    rows = rows.join(weights.withColumnRenamed("source", "same"), F.col("source").eqNullSafe(F.col("same")), "left")
+    places = F.coalesce("places", F.array().cast("array<struct<epoch:int,place:int>>"))
+    return rows.select("doc_id", "source", "n_tokens", "block", "weight", "epochs", F.coalesce("copies", F.lit(0)).alias("copies"), places.alias("places"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The documents as often as they are drawn, with their own columns."""
-    names = docs.columns
-    plan = written(draws(docs, doc_id=doc_id, source=source, **options).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "copies"), "draws")
-    plan = plan.withColumnRenamed("copies", "_copies").filter("_copies > 0")
-    joined = docs.join(plan, F.col(source).eqNullSafe(F.col("_source")) & (_block(doc_id) == F.col("_block")))
-    return joined.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", epoch: str | None = None, place: str | None = None, **options) -> DataFrame:
+    """The documents as often as they are drawn, with their own columns, whatever these are called.
+
+    ``epoch`` and ``place`` name further columns for the order to read them in: by epoch, then place.
+    """
+    same, block, turn, at = free_names(docs, "same", "block", "epoch", "place")
+    plan = written(draws(docs, doc_id=doc_id, source=source, **options), "draws")
+    plan = plan.select(F.col("source").alias(same), F.col("block").alias(block), F.col("epoch").alias(turn), F.col("place").alias(at))
+    joined = docs.join(plan, F.col(source).eqNullSafe(F.col(same)) & (_block(doc_id) == F.col(block)))
+    order = [F.col(c).alias(name) for c, name in ((turn, epoch), (at, place)) if name]
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *order)

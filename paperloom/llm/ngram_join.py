@@ -15,21 +15,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, least_count, mapped, written
+from . import sketch
+from .common import Memo, free_names, mapped, written
 from .components import components
 
 #: Sets of at most so many shingles may be joined by subsets, if at most two elements are left out.
 LEFT_OUT = 2
 #: Cost of a row of an inverted list, with the comparisons that it causes, in rows of a subset.
 SCAN_COST = 4.0
-#: Shingles that take the last places of every set, at most; they are broadcast.
-FREQUENT_MOST = 1_000_000
-#: Documents that a shingle is in, at least, before it can be one of them.
-FREQUENT_LEAST = 16
+#: Buckets by which shingles are told common from rare; two bits for each, 8 MB, are broadcast.
+LEVEL_BITS = 25
+#: Documents more than chance puts into a bucket before its shingles are common.
+COMMON_LEAST = 8
 #: Buckets of document ids by which sets are fetched for comparison; a fixed 2^20 bits are sent.
 ID_BUCKETS = 1 << 20
 SALTS, HOT_ROWS, HOT_SHARE, SIG_BUCKETS = 64, 1_000, 1 / 2_000, 1 << 16
@@ -96,7 +99,10 @@ class Rule:
         return sorted({c for m in range(self.smallest(n), largest + 1) if (c := self.overlap(n, m)) <= min(n, m)})
 
     def largest_small(self) -> int:
-        """The largest size of which no needed subset leaves out more than ``LEFT_OUT`` elements."""
+        """The largest size of which no needed subset leaves out more than ``LEFT_OUT`` elements; 0 if
+        only equal sets are similar, as these are one node already."""
+        if self.num == self.den:
+            return 0
         n = 1
         while all(n + 1 - c <= LEFT_OUT for c in self.subset_sizes(n + 1)):
             n += 1
@@ -119,46 +125,45 @@ def _subsets(values: np.ndarray, c: int) -> np.ndarray:
         return total - values[i] - values[j]
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles that many documents share, sorted.
+def _levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How common the shingles of each bucket are, 0 to 3, two bits each.
 
-    Each task counts all its documents and reports what it saw twice or more. The result only
-    sets the order of elements, so what it leaves out changes the work and not the links.
+    Documents are counted for every shingle, whatever task sees it, in a fixed number of buckets. A
+    level is how far a bucket's count lies above what chance puts into one. The result only sets the
+    order of elements, so shingles that share a bucket change the work and not the links.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, held, size = Shingler(n), [], 0
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, buckets = Shingler(n), np.zeros(1 << LEVEL_BITS, "u2")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = shingler(text) & ((1 << LEVEL_BITS) - 1)
+                buckets[at] = np.minimum(buckets[at], 65_534) + 1
+        task = TaskContext.get().partitionId()
+        for chunk, at, held in sketch.chunks(buckets):
+            columns = [pa.array([chunk], pa.int32()), pa.array([task], pa.int32()), pa.array([at]), pa.array([held]), pa.array([int(np.frombuffer(held, "i8").sum())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "task", "at", "held", "n"])
 
-        def report():
-            values, seen = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"shingle": values[seen > 1], "n": seen[seen > 1]})
+    counts = written(docs.select("text").mapInArrow(counted, "chunk int, task int, at binary, held binary, n long"), "counts")
+    chance = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << LEVEL_BITS)
+    least = chance + 4 * chance**0.5 + COMMON_LEAST
 
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(shingler(text))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield report()
-                    held, size = [], 0
-        if held:
-            yield report()
-
-    counts = docs.select("text").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = written(counts.filter(F.col("n") >= FREQUENT_LEAST), "frequent")
-    least = least_count(counts, "n", FREQUENT_MOST)
-    rows = counts.filter(F.col("n") >= least).select("shingle").toPandas()
-    return np.sort(rows["shingle"].to_numpy(np.int64))
-
-
-def _hashed(docs: DataFrame, n: int, rule: Rule, frequent: np.ndarray) -> DataFrame:
+    def pack(total: np.ndarray) -> np.ndarray:
+        level = (total >= least).astype(np.uint8) + (total >= 4 * least) + (total >= 16 * least)
+        return level.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
+
+    return sketch.collected(counts, 1 << LEVEL_BITS, pack)
+
+
+def _hashed(docs: DataFrame, n: int, rule: Rule, levels: np.ndarray) -> DataFrame:
     """doc_id, n (size of the set), sig (128 bits of the set), head (its first elements in the
-    common order), take (how many of them are its prefix), rare (elements that aren't frequent),
-    small (the set, if small)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    common order, by level and then by hash), take (how many of them are its prefix), rare (elements
+    of the lowest level), small (the set, if small)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
     largest = rule.largest_small()
 
     def hasher():
-        shingler, last = Shingler(n), shared.value
+        shingler, packed = Shingler(n), shared.value
 
         def hashed(batch: dict) -> dict:
             out: dict = {"doc_id": batch["doc_id"], "n": [], "sig": [], "head": [], "take": [], "rare": [], "small": []}
@@ -166,15 +171,14 @@ def _hashed(docs: DataFrame, n: int, rule: Rule, frequent: np.ndarray) -> DataFr
                 values = shingler(text)
                 size = len(values)
                 take = rule.head(size) if size else 0
-                often = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(size, bool)
-                # Frequent elements come after all others.
-                rare = values[~often]
-                head = rare[:take] if len(rare) >= take else np.concatenate([rare, values[often][: take - len(rare)]])
+                bucket = values & ((1 << LEVEL_BITS) - 1)
+                level = (packed[bucket >> 2] >> (2 * (bucket & 3)).astype(np.uint8)) & 3
+                head = values[np.argsort(level, kind="stable")[:take]]
                 out["n"].append(size)
                 out["sig"].append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 out["head"].append(head)
                 out["take"].append(rule.prefix(size) if size else 0)
-                out["rare"].append(len(rare))
+                out["rare"].append(int((level == 0).sum()))
                 out["small"].append(values if size <= largest else values[:0])
             return out
 
@@ -307,7 +311,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: s
     """
     rule = Rule(num, den)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    hashed = written(_hashed(docs, n, rule, _frequent(docs, n)), "hashed")
+    hashed = written(_hashed(docs, n, rule, _levels(docs, n)), "hashed")
     first = F.min_by(F.struct("n", "head", "take", "rare", "small"), "doc_id").alias("own")
     classes = hashed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("held"), first)
     nodes = written(classes.select("sig", "node", "held", "own.*"), "nodes")
@@ -366,5 +370,6 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Documents without words and with null ids stay, as they are linked with nothing.
     """
     found = linked(docs, n, num, den, doc_id, text)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    (other,) = free_names(docs, "other")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col(other), "left_anti")

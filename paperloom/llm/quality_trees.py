@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, free_names
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -168,6 +168,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted as label 1, with all their columns."""
+    """The documents predicted as label 1, with all their columns, whatever these are called.
+
+    Null and empty texts are scored as texts without words; repeated rows stay or go alike; a null id
+    has no label and is scored like any other; an empty table gives no rows.
+    """
     names = docs.columns
-    return docs.select("*", score(docs, learn(docs, labels)).alias("_quality_score")).filter(F.col("_quality_score") >= THRESHOLD).select(*names)
+    (mark,) = free_names(docs, "mark")
+    return docs.select("*", score(docs, learn(docs, labels)).alias(mark)).filter(F.col(mark) >= THRESHOLD).select(*names)

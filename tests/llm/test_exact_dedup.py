@@ -46,3 +46,10 @@ def test_empty_table(empty):
 def test_main_path_is_native(docs):
     plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_names_may_clash(spark):
+    rows = [(1, "a", True, 5, "x", 1), (2, "a", False, 6, "y", 2), (2, "a", False, 6, "y", 2), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stays boolean, `Of` int, sha string, place int")
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[1], rows[3]]

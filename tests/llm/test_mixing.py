@@ -46,28 +46,55 @@ def test_draws_match_a_plain_version(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
     got = mixing.drawn(docs).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(3_000))
-    total, blocks, weight = defaultdict(int), defaultdict(int), {}
+    total, blocks, weight, places = defaultdict(int), defaultdict(int), {}, defaultdict(dict)
     for r in got:
         assert r["n_tokens"] == len(rows[r["doc_id"]][2].split())
         total[r["source"]] += r["n_tokens"]
-        blocks[r["source"], r["place"]] += r["n_tokens"]
+        blocks[r["source"], r["block"]] += r["n_tokens"]
         weight[r["source"]] = r["weight"]
+        assert r["copies"] == len(r["places"])
+        for x in r["places"]:
+            assert places[r["source"], x["epoch"]].setdefault(x["place"], r["block"]) == r["block"]
     everything = sum(total.values())
     names = sorted(total)
     a = plain_exponent([total[s] for s in names], everything, mixing.ENTROPY_SHARE, mixing.MOST_REPEATS)
     z = sum((total[s] / everything) ** a for s in names)
-    copies = {(r["source"], r["place"]): r["copies"] for r in got}
     for s in names:
         assert abs(weight[s] - (total[s] / everything) ** a / z) < 1e-5
-        epochs = weight[s] * everything / total[s]
-        used = 0
-        for place in sorted(p for n, p in blocks if n == s):
-            used += blocks[s, place]
-            assert copies[s, place] == int(epochs + 1e-6) + (used <= (epochs - int(epochs + 1e-6)) * total[s] + 1e-3)
+        epochs = round(weight[s] * everything / total[s], 6)
+        mine = {b for n, b in blocks if n == s}
+        for epoch in range(int(epochs)):
+            assert sorted(places[s, epoch]) == list(range(len(mine))) and set(places[s, epoch].values()) == mine
+        last = [b for _, b in sorted(places[s, int(epochs)].items())]
+        part = (epochs - int(epochs)) * total[s]
+        used = sum(blocks[s, b] for b in last)
+        assert len(set(last)) == len(last)
+        # No block that is left would bring the source nearer to its part, and none taken is too much.
+        assert all(abs(used + blocks[s, b] - part) >= abs(used - part) - 1e-3 for b in mine - set(last))
+        assert not last or used - part <= blocks[s, last[-1]] / 2 + 1e-3
+        if int(epochs) >= 2 and len(mine) > 8:
+            assert [places[s, 0][i] for i in range(len(mine))] != [places[s, 1][i] for i in range(len(mine))]
     share = {s: sum(r["n_tokens"] * r["copies"] for r in got if r["source"] == s) for s in names}
     assert abs(sum(share.values()) / everything - 1) < 0.02 and share["big"] < total["big"]
 
 
+def test_a_long_block_does_not_end_an_epoch(spark):
+    rows = [(i, "small", "w " * 400) for i in range(3)] + [(10 + i, "large", "w " * 100) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.drawn(docs, budget=1_000).collect()
+    for name in ("small", "large"):
+        mine = [r for r in got if r["source"] == name]
+        sizes = [400] if name == "small" else [100]
+        assert abs(sum(r["n_tokens"] * r["copies"] for r in mine) - mine[0]["weight"] * 1_000) <= max(sizes) * 2
+        assert any(r["copies"] for r in mine)
+
+
+def test_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a", "one two", 5, 6, 7), (2, None, "three", 8, 9, 10)], "doc_id long, source string, text string, block int, `Same` int, place int")
+    got = mixing.mixed(docs, epoch="turn")
+    assert got.columns == [*docs.columns, "turn"] and sorted({tuple(r)[:6] for r in got.collect()}) == [(1, "a", "one two", 5, 6, 7), (2, None, "three", 8, 9, 10)]
+
+
 def test_rows_are_drawn_as_planned(spark, with_null_id):
     got = mixing.mixed(with_null_id)
     assert got.columns == with_null_id.columns

@@ -62,7 +62,7 @@ def test_leaderless_links_are_found(spark, monkeypatch):
 
 
 def test_frequent_shingles_change_the_order_only(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 2)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 1)
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(i, passage + " " + " ".join(f"u{rng.randrange(90)}" for _ in range(rng.choice([2, 5, 60])))) for i in range(80)]
@@ -97,3 +97,9 @@ def test_rule_covers_every_pair():
 def test_subset_keys_tell_which_element_is_left_out():
     values = np.array([3, 10, 500, 7_000], np.int64)
     assert sorted(ngram_join._subsets(values, 2)) == sorted(int(a + b) for i, a in enumerate(values) for b in values[i + 1 :])
+
+
+def test_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 1), (3, "other words than these five", 2)], "doc_id long, text string, Other long")
+    got = ngram_join.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
