@@ -36,6 +36,8 @@ DIMENSIONS, NOISE, STEPS, RATE = 24, 10, 150, 0.05
 #: Of the words' vectors: their length, drawn words, rate, passes over the counts, runs of three
 #: words that are worked on at a time and in one product, and rows that travel together.
 WIDTH, DRAWN, WORD_RATE, ROUNDS, AT_ONCE, IN_CACHE, BLOCK = 16, 10, 0.1, 2, 1 << 17, 2048, 4096
+#: Runs that are scored at a time, and shares of the runs that a pass of training starts alike and averages.
+SCORED, SHARES = 1 << 19, 48
 #: Tokens whose runs a task sums before it hands them on, and bits of a word's number in a run.
 HELD_TOKENS, BITS = 1 << 20, 20
 #: The token after the last word; no word is empty.
@@ -364,7 +366,7 @@ def trained(runs: DataFrame, lexicon: Lexicon, groups: Groups, p: dict[str, np.n
     """``p`` after a pass over all runs: every task starts at ``p`` and goes through its own share;
     a row moves by the mean of its moves over the tasks that moved it."""
     spark = runs.sparkSession
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, runs.rdd.getNumPartitions()))
+    tasks = max(1, min(SHARES, runs.rdd.getNumPartitions()))
     at_once = int(np.clip(tokens // (64 * tasks), 1024, AT_ONCE))
     noise = np.bincount(lexicon.symbol[:-1], lexicon.counts, SYMBOLS) + 0.5
     noise[RARE] += lexicon.rare_tokens
@@ -423,19 +425,24 @@ def _log_sums(x: np.ndarray) -> np.ndarray:
 
 def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[str, np.ndarray], table: np.ndarray) -> np.ndarray:
     """ln P(last word | the two before) of runs; of a rare word, that of its symbol. ``table`` is in ln."""
-    mask, out = (1 << BITS) - 1, np.empty(len(keys))
+    mask = (1 << BITS) - 1
+    # A run that repeats is looked up once, and the symbols' normaliser is made once for each context.
+    keys, back = np.unique(keys, return_inverse=True)
+    contexts, of = np.unique(keys >> BITS, return_inverse=True)
+    two, one = contexts >> BITS, contexts & mask
+    context, cell = p["one"][one] + p["two"][two], symbol[two] * SYMBOLS + symbol[one]
     last = keys & mask
-    order = np.argsort(symbol[last] * len(groups.place) + groups.place[last])
-    keys, last = keys[order], last[order]
-    two, one, own = keys >> 2 * BITS, keys >> BITS & mask, symbol[last]
-    context = p["one"][one] + p["two"][two]
-    found, cell = np.empty(len(keys)), symbol[two] * SYMBOLS + symbol[one]
-    for i in range(0, len(keys), IN_CACHE):
-        at = slice(i, i + IN_CACHE)
-        scores = table.take(cell[at], axis=0)
-        scores += context[at] @ p["symbol"].T
-        found[at] = scores[np.arange(len(scores)), own[at]] - _log_sums(scores)
-
+    own, by_symbol = symbol[last], np.empty(len(keys))
+    for i in range(0, len(contexts), IN_CACHE):
+        scores = table.take(cell[i : i + IN_CACHE], axis=0)
+        scores += context[i : i + IN_CACHE] @ p["symbol"].T
+        low, high = np.searchsorted(of, [i, i + IN_CACHE])
+        here = of[low:high] - i
+        by_symbol[low:high] = scores[here, own[low:high]] - _log_sums(scores)[here]
+
+    order = np.argsort(own * len(groups.place) + groups.place[last])
+    last, own, found = last[order], own[order], by_symbol[order]
+    context = context[of[order]]
     a, b = np.searchsorted(own, [SINGLE, RARE])
     place = groups.place[last[a:b]]
     group, rows = groups.group[place], context[a:b]
@@ -448,8 +455,9 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
             if high - low > 1:
                 x = rows[i:j] @ p[kind][low:high].T + share[low:high]
                 found[a + i : a + j] += x[np.arange(j - i), child[i:j] - low] - _log_sums(x)
+    out = np.empty(len(keys))
     out[order] = found
-    return out
+    return out[back]
 
 
 class Model:
@@ -506,7 +514,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
             def add() -> None:
                 keys, lengths = np.concatenate(held), [len(k) for k in held]
-                chances = np.concatenate([log_chances(keys[i : i + AT_ONCE], symbol, groups, vectors, table) for i in range(0, len(keys), AT_ONCE)])
+                chances = np.concatenate([log_chances(keys[i : i + SCORED], symbol, groups, vectors, table) for i in range(0, len(keys), SCORED)])
                 model[of] += np.add.reduceat(chances, np.r_[0, np.cumsum(lengths)[:-1]]) / np.log(10)
 
             for at_row, text in enumerate(batch["text"]):
@@ -520,7 +528,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 held.append(runs_of(at, size))
                 of.append(at_row)
                 tokens += len(words)
-                if tokens >= AT_ONCE:
+                if tokens >= SCORED:
                     add()
                     held, of, tokens = [], [], 0
             if held:
