@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import flatten, grading, ledger, pages, quality, scoring  # noqa: F401
+from . import coverage, flatten, grading, ledger, pages, quality, scoring  # noqa: F401
 from .registry import oracle_sql, queries  # noqa: F401

@@ -201,6 +201,18 @@ VIEWS["v_corpus"] = """
 SELECT doc_id AS entry_id, 2021 + doc_id % 5 AS year, CASE doc_id % 3 WHEN 0 THEN 'vocabulary' WHEN 1 THEN 'cloze' ELSE 'reading' END AS section, text FROM documents
 """
 
+# Questions of an exam with their whole text, and a phrase list of words that stand in them.
+VIEWS["v_exam_questions"] = """
+SELECT question_key AS entry_id, paper_id, number AS position, section_no, CASE section_no WHEN 1 THEN 'vocabulary' WHEN 2 THEN 'cloze' WHEN 3 THEN 'reading' ELSE 'other' END AS section, CAST(2021 + paper_id % 5 AS STRING) AS year,
+ stem || ' ' || opt_a || ' ' || opt_b || ' ' || trim(opt_c) || ' ' || opt_d AS text FROM v_questions
+"""
+
+VIEWS["v_stem_phrases"] = """
+SELECT list_id, number, phrase FROM (
+ SELECT list_id, min(number) AS number, phrase FROM (SELECT p_partkey % 2 AS list_id, p_partkey AS number, split_part(p_name, ' ', 1) || CASE p_partkey % 3 WHEN 0 THEN ' ... ' ELSE ' ' END || split_part(p_name, ' ', 2) AS phrase FROM part) p GROUP BY list_id, phrase) q
+UNION ALL SELECT 0, 2000000001, 'small/large size' UNION ALL SELECT 1, 2000000002, 'sb brushed' UNION ALL SELECT 1, 2000000003, 'sb sth'
+"""
+
 VIEWS["v_cloze"] = """
 SELECT doc_id, 21 AS number, substr(text, 1, 60) || ' __21__ ' || substr(text, 61) AS text FROM documents
 """
