@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .staging import staged
+
 
 @dataclass(frozen=True)
 class Running:
@@ -42,9 +44,8 @@ def running(
     ``reverse=True`` scans from the end, so ``last`` becomes "next".
     """
     values = {name: f"__v_{name}" for name in specs}
-    rows = df.withColumn("__block", block)
-    for name, spec in specs.items():
-        rows = rows.withColumn(values[name], spec.value)
+    # Rows and summaries are two readers: the input is written once, so chained scans don't multiply it.
+    rows = staged(df.withColumns({"__block": block, **{values[name]: spec.value for name, spec in specs.items()}}), "scan")
 
     def direction(name: str) -> Column:
         return F.col(name).desc() if reverse else F.col(name).asc()
