@@ -39,6 +39,44 @@ def _build(r):
     return built.withColumns({c: F.col(c).cast("string") for c in ("first_seen_at", "last_seen_at", "note_updated_at")})
 
 
+# Entries after their last delete, from their first wrong grading on, with the status that an event sets.
+_LIVE = """deleted AS (SELECT entry_id, max((ts, event_id)) AS d FROM v_ledger_events WHERE kind = 'delete' GROUP BY entry_id),
+later AS (SELECT e.* FROM v_ledger_events e LEFT JOIN deleted USING (entry_id) WHERE d IS NULL OR (ts, event_id) > d),
+opened AS (SELECT entry_id, min((ts, event_id)) AS o FROM later WHERE kind = 'graded_wrong' GROUP BY entry_id),
+live AS (SELECT l.*, CASE kind WHEN 'graded_wrong' THEN 'unreviewed' WHEN 'attempt' THEN CASE WHEN is_correct THEN 'mastered' ELSE 'unreviewed' END WHEN 'patch' THEN patch_status END AS hard FROM later l JOIN opened USING (entry_id) WHERE (ts, event_id) >= o),
+scanned AS (SELECT *, last_value(hard IGNORE NULLS) OVER (PARTITION BY entry_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM live),
+stated AS (SELECT *, coalesce(hard, CASE WHEN kind = 'mark_reviewed' AND before <> 'mastered' THEN 'reviewed' END) AS sets FROM scanned)"""
+_STATUS = f"{_LIVE}, status AS (SELECT entry_id, last(sets ORDER BY ts, event_id) FILTER (sets IS NOT NULL) AS status, count(*) FILTER (kind = 'graded_wrong') AS wrong_count FROM stated GROUP BY entry_id)"
+
+
+@query("W4", f"WITH {_STATUS} SELECT entry_id, status, wrong_count FROM status")
+def _status(r):
+    return lg.ledger_status(r.v_ledger_events)
+
+
+@query("W5", f"""WITH {_LIVE} SELECT entry_id, count(*) AS review_count, count(*) FILTER (kind = 'attempt' AND is_correct) AS correct_review_count,
+ last(is_correct ORDER BY ts, event_id) FILTER (kind = 'attempt') AS last_review_correct, max(ts) AS reviewed_at
+FROM scanned WHERE kind = 'attempt' OR (kind = 'mark_reviewed' AND before <> 'mastered') GROUP BY entry_id""")
+def _counters(r):
+    return lg.review_counters(r.v_ledger_events)
+
+
+@query("W6", f"""WITH {_STATUS}, c AS (SELECT v.*, string_split(tag_list, ',') AS tags, s.entry_id IS NOT NULL AS known,
+  CASE WHEN v.status NOT IN ('unreviewed', 'reviewed', 'mastered') THEN 'status' WHEN tag_list LIKE '%spelling%' THEN 'tag' END AS bad FROM v_changes v LEFT JOIN status s USING (entry_id)),
+g AS (SELECT *, min(seq) FILTER (known AND bad IS NULL AND deleted) OVER (PARTITION BY entry_id) AS gone_at FROM c),
+j AS (SELECT *, CASE WHEN NOT known OR coalesce(seq > gone_at, FALSE) THEN 'entry' ELSE bad END AS reason FROM g),
+a AS (SELECT entry_id, last(note ORDER BY seq) FILTER (note IS NOT NULL) AS note, last(tags ORDER BY seq) FILTER (tags IS NOT NULL) AS tags, last(status ORDER BY seq) FILTER (status IS NOT NULL) AS status, max(gone_at) AS gone_at FROM j WHERE reason IS NULL GROUP BY entry_id)
+SELECT 'kept' AS outcome, s.entry_id, NULL AS seq, coalesce(a.status, s.status) AS status, coalesce(trim(a.note), '') AS note, CASE WHEN tags IS NULL THEN '' ELSE 'phrase,grammar' END AS tags, NULL AS reason FROM status s LEFT JOIN a USING (entry_id) WHERE gone_at IS NULL
+UNION ALL SELECT 'rejected', entry_id, seq, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL""")
+def _changed(r):
+    ledger = lg.ledger_status(r.v_ledger_events).select("entry_id", "status", F.lit("").alias("note"), F.array().cast("array<string>").alias("tags"))
+    changes = r.v_changes.select("seq", "entry_id", "note", F.split("tag_list", ",").alias("tags"), "status", "deleted")
+    kept, rejects = lg.apply_changes(ledger, changes)
+    kept = kept.select(F.lit("kept").alias("outcome"), "entry_id", F.lit(None).cast("bigint").alias("seq"), "status", "note", F.array_join("tags", ",").alias("tags"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("string")
+    return kept.unionByName(rejects.select(F.lit("rejected").alias("outcome"), "entry_id", "seq", none.alias("status"), none.alias("note"), none.alias("tags"), "reason"))
+
+
 @query("W12", f"""WITH f AS (SELECT 'type' AS facet, {_EXAM_TYPE} AS value FROM v_ledger UNION ALL SELECT 'tag', category FROM v_ledger
  UNION ALL SELECT 'pending', CASE WHEN status IN ('reviewed', 'mastered') THEN NULL ELSE '' END FROM v_ledger)
 SELECT facet, value, count(*) AS entries FROM f WHERE value IS NOT NULL GROUP BY facet, value""")

@@ -94,6 +94,14 @@ SELECT event_id, ts, 'u' || CAST(user_id AS STRING) || '__q' || CAST(event_id %
 FROM events
 """
 
+# Batches of changes to entries, some with an unknown status or tag.
+VIEWS["v_changes"] = """
+SELECT event_id AS seq, entry_id, CASE WHEN kind = 'note' THEN '  note ' || CAST(event_id AS STRING) || ' ' END AS note,
+ CASE WHEN kind = 'patch' THEN CASE WHEN event_id % 11 = 0 THEN 'lost' ELSE patch_status END END AS status,
+ CASE WHEN kind = 'patch' AND event_id % 2 = 0 THEN CASE WHEN event_id % 13 = 0 THEN 'phrase,spelling' ELSE 'phrase,grammar,phrase' END END AS tag_list, kind = 'delete' AND event_id % 100 = 0 AS deleted
+FROM v_ledger_events
+"""
+
 VIEWS["v_practice"] = """
 SELECT attempt_id AS record_id, submitted_at, question_key AS entry_key, paper_id, type, answer_key, supp,
  coalesce(answer_by_id, answer_by_number) AS answer, CASE WHEN number <= 40 THEN 'choice' WHEN number <= 48 THEN 'reading' ELSE 'translation' END AS exam_type

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.staging import staged
 from ..functions import text as tx
 from ..functions.answers import ratio
 from ..functions.scans import Running, running
@@ -486,7 +487,9 @@ def cloze_contexts(questions: DataFrame, texts: DataFrame, low: int = 21, high:
     ``questions``: ``doc_id, number``; ``texts``: ``doc_id, text``.
     """
     rows = _around_blank(questions.join(texts, "doc_id"), tx.clean_inline(F.col("text")), "A-Za-z0-9_$")
-    rows = rows.filter(F.col("at") > 0)
+    # Cleaning is long; without a table between, every expression below would hold a copy of it.
+    rows = staged(rows.filter(F.col("at") > 0).select("doc_id", "number", "t", "at", "blank"), "blanks")
+    rows = rows.withColumns({"before": F.substr("t", F.lit(1), F.col("at") - 1), "after": F.substr("t", F.col("at") + F.length("blank"))})
     closing = r"""["”’')\]]?"""
     left = F.regexp_replace("before", rf"(?s)^.*{_SENTENCE_MARKS}{closing}\s+", "")
     to_stop = F.regexp_extract("after", rf"(?s)^(.*?{_SENTENCE_MARKS}{closing})(?=\s|$)", 1)
