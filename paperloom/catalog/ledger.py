@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import ledger as lg, merge as mg, records as rc
 from .quality import WARNING_SQL, warnings
 from .registry import query
@@ -111,6 +112,83 @@ def _merge(r):
     return mg.merge_questions(r.v_chunks, ["paper_id", "section_no", "number"])
 
 
+def _chunks(r):
+    options = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"opt_{i.lower()}").alias("text")) for i in "ABC"])
+    options = F.filter(options, lambda o: o["text"].isNotNull())
+    return r.v_chunks.select("paper_id", "section_no", "section_title", "group_no", F.col("number").cast("string").alias("number"), "seq", F.array("page").alias("pages"), "stem", options.alias("options"))
+
+
+_OPTIONS = "SELECT paper_id, section_no, number, seq, unnest(['A', 'B', 'C']) AS option_id, unnest([opt_a, opt_b, opt_c]) AS text FROM v_chunks"
+_PLAIN = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_SAME = f"""keyed AS (SELECT paper_id, number, seq, page_lo, {_PLAIN.format('opt_a')} AS a, {_PLAIN.format('opt_b')} AS b, {_PLAIN.format('opt_c')} AS c FROM v_choice_windows),
+same AS (SELECT x.paper_id, x.seq, min(y.seq) AS same_as FROM keyed x JOIN keyed y ON y.paper_id = x.paper_id AND y.number = x.number AND abs(y.page_lo - x.page_lo) <= 1 AND y.seq < x.seq AND y.a = x.a AND y.b = x.b AND y.c = x.c GROUP BY x.paper_id, x.seq)"""
+
+
+def _choices(r):
+    options = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"opt_{i.lower()}").alias("text")) for i in "ABC"])
+    return r.v_choice_windows.select("paper_id", "section_no", "section_title", F.col("number").cast("string").alias("number"), "seq", F.array("page_lo", "page_hi").alias("pages"), "stem", options.alias("options"), "half")
+
+
+@query("M2", f"SELECT paper_id, section_no, number, option_id, arg_max(text, length(text) - seq * 0.00001) AS text FROM ({_OPTIONS}) WHERE text IS NOT NULL GROUP BY ALL")
+def _options(r):
+    rows = _chunks(r).select("paper_id", "section_no", F.col("number").cast("bigint").alias("number"), "seq", F.inline("options")).withColumnRenamed("id", "option_id")
+    return mg.merge_options(rows, ["paper_id", "section_no", "number"])
+
+
+@query("M3", """SELECT paper_id, arg_min(title, seq) AS title, arg_max(description, length(description) - seq * 0.00001) AS description, CAST(max(total_score) AS BIGINT) AS total_score, CAST(max(score) AS DOUBLE) AS score, min(seq) AS first_seq FROM v_section_windows GROUP BY paper_id, title""")
+def _sections(r):
+    return mg.merge_sections(r.v_section_windows).drop("section_key").withColumns({"total_score": F.col("total_score").cast("bigint"), "score": F.col("score").cast("double")})
+
+
+@query("M4", f"WITH {_SAME} SELECT * FROM same")
+def _same(r):
+    return mg.same_source_choice(_choices(r))
+
+
+@query("M5")
+def _adopted(r):
+    rows = _choices(r).withColumn("kind", tx.section_kind(F.col("section_title")))
+    # Windows may name the part of a continued section differently.
+    return mg.adopt_section(rows.withColumn("section_key", F.concat_ws("-", "section_no", "half")))
+
+
+@query("M6")
+def _variants(r):
+    return mg.split_variants(_chunks(r).unionByName(_choices(r).drop("half").withColumn("seq", F.col("seq") + 1000), allowMissingColumns=True), ["paper_id", "section_no", "number"])
+
+
+@query("M7", """SELECT * FROM v_noisy_chunks WHERE (trim(number) <> '' OR trim(coalesce(stem, '')) <> '') AND NOT (section_title = 'Part II Cloze' AND number = '21-40')""")
+def _noise(r):
+    return mg.drop_noise(r.v_noisy_chunks)
+
+
+@query("M8")
+def _stitched(r):
+    """Each document's words in up to three windows that overlap by thirty words."""
+    words = r.v_corpus.select("entry_id", F.split("text", " ").alias("w")).withColumn("third", (F.size("w") / 3).cast("int"))
+    cut = lambda n: F.array_join(F.slice("w", F.greatest(F.lit(1), n * F.col("third") - 29), F.when(F.lit(n) == 2, F.size("w")).otherwise(F.col("third") + 30)), " ")
+    windows = words.select("entry_id", F.posexplode(F.array(cut(0), cut(1), cut(2))).alias("window_no", "text"))
+    return mg.stitch_passages(windows, ["entry_id"])
+
+
+@query("M9", """SELECT paper_id, section_no, CASE WHEN group_no IS NULL THEN '其他题目' ELSE 'Passage ' || CAST(group_no AS VARCHAR) END AS group_title, number, row_number() OVER (PARTITION BY paper_id, section_no, group_no ORDER BY seq) AS place
+FROM (SELECT *, max(group_no) OVER (PARTITION BY paper_id, section_no) AS most FROM v_chunks) WHERE most IS NOT NULL""")
+def _groups(r):
+    return mg.group_membership(r.v_chunks)
+
+
+@query("M10")
+def _parts(r):
+    return mg.dedupe_parts(_chunks(r))
+
+
+@query("M11", """WITH s AS (SELECT paper_id, section_no, min(seq) AS section_seq FROM v_chunks GROUP BY ALL)
+SELECT paper_id, section_seq, seq, 'q' || CAST(row_number() OVER (PARTITION BY paper_id ORDER BY section_seq, seq) AS VARCHAR) AS question_id FROM v_chunks JOIN s USING (paper_id, section_no)""")
+def _numbered(r):
+    first = r.v_chunks.groupBy("paper_id", "section_no").agg(F.min("seq").alias("section_seq"))
+    return mg.number_questions(r.v_chunks.join(first, ["paper_id", "section_no"]).select("paper_id", "section_seq", "seq"))
+
+
 @query("M12", WARNING_SQL)
 def _extraction(r):
     return warnings(r)

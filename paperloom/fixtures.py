@@ -188,6 +188,23 @@ SELECT paper_id, section_no, section_title, number, n AS chunk, (n * 100 + numbe
 FROM (SELECT *, 1 AS n FROM v_questions UNION ALL SELECT *, 2 AS n FROM v_questions) c WHERE number % 13 <> 0 OR n = 1
 """
 
+# Extracted rows with the noise of headings: no number and stem, or the range of a cloze.
+VIEWS["v_noisy_chunks"] = """
+SELECT paper_id, section_title, seq, CASE WHEN seq % 7 = 0 THEN ' ' WHEN seq % 11 = 0 THEN '21-40' ELSE CAST(number AS STRING) END AS number, CASE WHEN seq % 14 = 0 THEN NULL ELSE stem END AS stem FROM v_chunks
+"""
+
+# Three windows over two pages each; options differ in case and blanks, and some in their text.
+VIEWS["v_choice_windows"] = """
+SELECT paper_id, section_no, section_title, number, n * 100 + number AS seq, number % 5 + n AS page_lo, number % 5 + n + 1 AS page_hi, n % 2 AS half, stem,
+ CASE n WHEN 1 THEN opt_a ELSE upper(opt_a) || ' ' END AS opt_a, CASE n WHEN 3 THEN replace(opt_b, ' ', '  ') ELSE opt_b END AS opt_b, CASE WHEN number % 6 = 0 AND n = 2 THEN 'other' ELSE opt_c END AS opt_c
+FROM v_questions JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) w ON n <= number % 4 + 1
+"""
+
+VIEWS["v_section_windows"] = """
+SELECT s.paper_id, s.section_no * 10 + n AS seq, section_title AS title, CASE WHEN n = 1 THEN substr(description, 1, 20) ELSE description END AS description, total_score * n AS total_score, score / n AS score
+FROM v_sections s JOIN (SELECT paper_id, section_no, description FROM v_described_sections) d ON d.paper_id = s.paper_id AND d.section_no = s.section_no JOIN (SELECT 1 AS n UNION ALL SELECT 2) w ON n <= s.paper_id % 2 + 1
+"""
+
 VIEWS["v_blocks"] = """
 SELECT p_partkey AS block_id, p_partkey % 7 + 1 AS page, CAST(p_partkey % 120 AS STRING) || chr(10) || p_name AS block_text FROM part
 """
