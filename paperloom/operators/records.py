@@ -39,3 +39,22 @@ def merge_highlights(ranges: DataFrame, key: str = "element") -> DataFrame:
     marked = reached.withColumn("opens", opens).drop("reached")
     islands = running(marked, [key], order, block, {"island": Running("sum", F.col("opens"))})
     return islands.groupBy(key, "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("island")
+
+
+def draft_upsert(drafts: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest draft of each key, by time and then id: null notes keep the last ones that were given, and
+    a duration is 0 or more. ``drafts``: keys, mtime, record_id, notes, duration_seconds."""
+    at = F.struct("mtime", "record_id")
+    last = drafts.groupBy(*keys).agg(F.max_by(F.struct("record_id", "duration_seconds"), at).alias("d"), F.max_by("notes", F.when(F.col("notes").isNotNull(), at)).alias("notes"))
+    duration = F.greatest(F.lit(0), F.coalesce("d.duration_seconds", F.lit(0))).cast("bigint")
+    return last.select(*keys, "d.record_id", "notes", duration.alias("duration_seconds"))
+
+
+def delete_records(records: DataFrame, deletions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records that stay, rejects): a deletion of a record that isn't there is rejected; the first deletion
+    of a record counts, by ``seq``. ``deletions``: keys, seq."""
+    first = deletions.groupBy(*keys).agg(F.min("seq").alias("first"))
+    known = records.select(*keys, F.lit(True).alias("known")).distinct()
+    judged = deletions.join(first, keys).join(known, keys, "left")
+    rejects = judged.filter(F.col("known").isNull() | (F.col("seq") > F.col("first"))).select(*keys, "seq")
+    return records.join(first.select(*keys), keys, "left_anti"), rejects
