@@ -1 +1,6 @@
+"""Streams: state that is kept up to date from micro-batches, and windows over event time."""
 
+from .daily import daily_study
+from .upsert import LogSink, run_available
+
+__all__ = ["LogSink", "daily_study", "run_available"]
