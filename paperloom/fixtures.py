@@ -158,6 +158,45 @@ SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'view' THEN 'render
 FROM events
 """
 
+# Documents as papers of collections of eight.
+VIEWS["v_items"] = """
+SELECT 'p' || CAST(doc_id AS STRING) AS item_id, 'paper' AS kind, 'c' || CAST(CAST(floor(doc_id / 8.0) AS BIGINT) AS STRING) AS parent_id, doc_id % 31 = 0 AS superseded FROM documents
+UNION ALL SELECT DISTINCT 'c' || CAST(CAST(floor(doc_id / 8.0) AS BIGINT) AS STRING), 'collection', NULL, CAST(floor(doc_id / 8.0) AS BIGINT) % 17 = 0 FROM documents
+"""
+
+# Urgent orders: those of status P are entries of the trash, those of status F requests to delete.
+VIEWS["v_entries"] = """
+SELECT o_orderkey AS entry_id, 'p' || CAST(o_custkey AS STRING) AS item_id, o_orderdate AS deleted_at, o_orderdate + INTERVAL 15 DAY AS expires_at, o_orderkey % 7 = 0 AS purged FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'
+UNION ALL SELECT o_orderkey, 'c' || CAST(CAST(floor(o_custkey / 8.0) AS BIGINT) AS STRING), o_orderdate, o_orderdate + INTERVAL 15 DAY, o_orderkey % 7 = 0 FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_orderkey % 9 = 0
+"""
+
+VIEWS["v_requests"] = """
+SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || CAST(CAST(floor(o_custkey / 8.0) AS BIGINT) AS STRING) ELSE 'p' || CAST(o_custkey AS STRING) END AS item_id, o_orderdate AS asked_at FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
+"""
+
+# Orders of status O as jobs, their lines as the papers they made.
+VIEWS["v_runs"] = """
+SELECT o_orderkey AS job_id, o_orderdate AS updated_at, 'u' || CAST(CAST(floor(o_orderkey / 2.0) AS BIGINT) AS STRING) AS upload, o_orderpriority = '5-LOW' AS active FROM orders WHERE o_orderstatus = 'O'
+"""
+
+VIEWS["v_run_papers"] = """
+SELECT l_orderkey AS job_id, 'p' || CAST(l_suppkey AS STRING) AS item_id, CASE WHEN l_quantity > 45 THEN 'incomplete' WHEN l_quantity > 35 THEN 'review' WHEN l_quantity > 2 THEN 'passed' END AS status FROM lineitem
+"""
+
+# Which of a document's windows were read before.
+VIEWS["v_cached"] = """
+SELECT doc_id, page AS window_no FROM v_ocr_pages WHERE extraction_method = 'vision_ocr'
+"""
+
+VIEWS["v_issues"] = """
+SELECT paper_id, CASE number % 5 WHEN 0 THEN 'no_source' WHEN 1 THEN 'unconfirmed_format' ELSE 'missing_stem' END AS code, CASE WHEN question_key % 23 = 0 AND paper_id % 4 = 0 THEN NULL ELSE number % 5 + 1 END AS page FROM v_questions WHERE stem = '' OR question_key % 29 = 0
+"""
+
+# A corrected version of each paper: some keep all, some lose questions, some change texts.
+VIEWS["v_corrected"] = """
+SELECT paper_id, section_title, question_id, number, CASE WHEN paper_id % 5 = 1 AND number = 7 THEN stem || '.' ELSE stem END AS stem, opt_a, opt_b, opt_c, opt_d FROM v_questions WHERE paper_id % 5 <> 2 OR number <> 11
+"""
+
 VIEWS["v_ocr_pages"] = """
 SELECT conv_id AS doc_id, turn + 1 AS page, text, CASE WHEN role = 'assistant' THEN 'vision_ocr' ELSE 'pdf_text' END AS extraction_method FROM conversations
 """
