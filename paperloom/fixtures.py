@@ -174,6 +174,11 @@ VIEWS["v_requests"] = """
 SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'c' || CAST(CAST(floor(o_custkey / 8.0) AS BIGINT) AS STRING) ELSE 'p' || CAST(o_custkey AS STRING) END AS item_id, o_orderdate AS asked_at FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
 """
 
+# Errors put one of a user's twenty items into the trash, sign-ups take it out.
+VIEWS["v_retention"] = """
+SELECT 'u' || CAST(user_id AS STRING) || '-' || CAST(event_id % 20 AS STRING) AS item_id, event_id, ts, CASE event_type WHEN 'error' THEN 'trash' ELSE 'restore' END AS kind FROM events WHERE event_type IN ('error', 'signup')
+"""
+
 # Orders of status O as jobs, their lines as the papers they made.
 VIEWS["v_runs"] = """
 SELECT o_orderkey AS job_id, o_orderdate AS updated_at, 'u' || CAST(CAST(floor(o_orderkey / 2.0) AS BIGINT) AS STRING) AS upload, o_orderpriority = '5-LOW' AS active FROM orders WHERE o_orderstatus = 'O'
