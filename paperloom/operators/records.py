@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.answers import has_answer
 from ..functions.scans import Running, running
 
 SALTS = 32
@@ -58,3 +59,33 @@ def delete_records(records: DataFrame, deletions: DataFrame, keys: list[str]) ->
     judged = deletions.join(first, keys).join(known, keys, "left")
     rejects = judged.filter(F.col("known").isNull() | (F.col("seq") > F.col("first"))).select(*keys, "seq")
     return records.join(first.select(*keys), keys, "left_anti"), rejects
+
+
+def record_history(records: DataFrame, answers: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``record_id, paper_id, answered_count, attempt_count, last_score, status, updated_at`` of every record. A record
+    with answers, if only blank ones, is ``in_progress`` until it is submitted. ``updated_at`` is the draft's time,
+    else the last attempt's, else the file's. Order them by it, descending.
+
+    ``records``: record_id, paper_id, draft_at, mtime; ``answers``: record_id, question_id, answer; ``attempts``:
+    record_id, seq, submitted_at, total_score; the last attempt is that of the largest seq, time and score."""
+    filled = answers.groupBy("record_id").agg(F.count(F.lit(1)).alias("named"), F.count_if(has_answer(F.col("answer"))).alias("answered_count"))
+    sent = attempts.groupBy("record_id").agg(F.count(F.lit(1)).alias("attempt_count"), F.max(F.struct("seq", "submitted_at", "total_score")).alias("last"))
+    rows = records.join(filled, "record_id", "left").join(sent, "record_id", "left")
+    status = F.when(F.col("attempt_count") > 0, "submitted").when(F.col("named") > 0, "in_progress").otherwise("new")
+    return rows.select(
+        "record_id", "paper_id", F.coalesce("answered_count", F.lit(0)).alias("answered_count"), F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"),
+        F.col("last.total_score").alias("last_score"), status.alias("status"), F.coalesce("draft_at", "last.submitted_at", "mtime").alias("updated_at"),
+    )
+
+
+def reconcile_drafts(server: DataFrame, backup: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, source, saved_at, draft``: the backup where its time can be read and is later than the server's, or
+    the server's can't be read or is missing; else the server's, else none. Times are texts, one draft a key."""
+    ours = server.select(*keys, F.col("saved_at").alias("server_at"), F.col("draft").alias("server_draft"), F.lit(True).alias("held"))
+    theirs = backup.select(*keys, F.col("saved_at").alias("local_at"), F.col("draft").alias("local_draft"))
+    read = lambda c: F.try_to_timestamp(F.col(c))
+    newer = read("local_at").isNotNull() & (read("server_at").isNull() | (read("local_at") > read("server_at")))
+    both = ours.join(theirs, keys, "full").withColumn("newer", F.coalesce(newer, F.lit(False)))
+    kept = both.filter("newer OR held")
+    pick = lambda a, b: F.when(F.col("newer"), F.col(a)).otherwise(F.col(b))
+    return kept.select(*keys, F.when(F.col("newer"), "backup").otherwise("server").alias("source"), pick("local_at", "server_at").alias("saved_at"), pick("local_draft", "server_draft").alias("draft"))
