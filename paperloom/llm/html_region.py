@@ -5,6 +5,12 @@ stands together and links; tags score below zero; the weights are log-odds count
 pages. One linear scan finds the contiguous run with the greatest sum, which is the main region on
 every page; its boilerplate parts are then left out. Main containers are labels to count on, never
 a feature of words; the scan only pays for crossing their borders, as for other tags.
+
+Elements end as browsers end them: a paragraph before the next block, an item, term, cell or option
+before the next one. A class, id or role that names boilerplate (``comments``, ``article-ads``) leaves
+its element out unless it holds the page's heading; one that only mentions it (``related-work``,
+``has-sidebar``) or holds the heading does so only where few words stand in plain text. Parsing takes
+linear time on broken markup too: after a tag whose quotes never close, quotes mean nothing more.
 """
 
 from __future__ import annotations
@@ -12,8 +18,11 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,12 +37,18 @@ LABELLED = 0.5
 #: Score of a container's begin or end: a run goes over a row of teaser cards only at a cost.
 BORDER = -30.0
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)",
-    re.DOTALL,
-)
-_CUE_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_CUE_WORD = re.compile(r"[a-z]+")
+#: Plain words that keep an element whose class only mentions boilerplate.
+WORTH = 20
+
+_COMMENT, _OTHER, _WORDS = r"<!--.*?(?:-->|\Z)", r"<(?:[!?]|/(?![a-zA-Z]))[^>]*>", r"(?P<words>[^<]+|<)"
+_TAG = r"<(?P<closes>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>%s)>"
+_QUOTED = re.compile("|".join([_COMMENT, _TAG % r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+", _OTHER, _WORDS]), re.DOTALL)
+_UNQUOTED = re.compile("|".join([_COMMENT, _TAG % "[^>]*", _OTHER, _WORDS]), re.DOTALL)
+_NO_TAGS = re.compile("|".join([_COMMENT, _WORDS]), re.DOTALL)
+_TAG_START = re.compile(r"</?[a-zA-Z]")
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_CUE_ATTRIBUTE = re.compile(r"class|id|role|hidden", re.I)
+_CUE_WORD = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
 # Element names and cue words of boilerplate and of main content.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -43,85 +58,216 @@ MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("table caption td th".split())
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+#: Inline elements whose end tag holds across blocks that were left open in them.
+FORMATTING = frozenset("a b big code em font i s small strong tt u".split())
 CUES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager masthead skip hidden contentinfo complementary search print copyright".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager masthead skip hidden contentinfo complementary search copyright".split()
 )
-
-
-def _skips(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is boilerplate by its name or by a cue word in its class, id or role."""
-    if tag in SKIPPED or tag == "header" and not in_main:
-        return True
-    if not attributes or tag in ("html", "body", "main", "h1"):
-        return False
-    for name, *values in _CUE_ATTRIBUTE.findall(attributes):
-        value, name = (values[0] or values[1] or values[2]).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not CUES.isdisjoint(_CUE_WORD.findall(value)):
-            return True
-    return False
+#: Words of a class name that say nothing after a cue, and words that turn it into a mention.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box button buttons col column container content count form group head header holder icon icons inner item items left link links list meta module news outer panel posts right row section slot stories text title top unit wrap wrapper".split()
+)
+MENTIONS = frozenset("allow enable enabled has hide no non show with without".split())
+
+# What a start tag closes, and the elements that it doesn't look past.
+_ROWS = ("tr", "td", "th")
+_IMPLIED: dict[str, tuple[tuple[str, ...], frozenset[str]]] = {
+    "li": (("li",), BLOCKS - {"address", "div", "p", "li"}),
+    "tr": (_ROWS, frozenset(["table"])),
+    "a": (("a",), CELLS),
+    "option": (("option",), frozenset(["select", "datalist"])),
+}
+_IMPLIED |= dict.fromkeys(["dt", "dd"], (("dt", "dd"), BLOCKS - {"address", "div", "p", "dt", "dd"}))
+_IMPLIED |= dict.fromkeys(["td", "th"], (("td", "th"), frozenset(["table", "tr"])))
+_IMPLIED |= dict.fromkeys(["thead", "tbody", "tfoot"], (("thead", "tbody", "tfoot", *_ROWS), frozenset(["table"])))
+
+
+def _names_boilerplate(name: str) -> bool | None:
+    """True where a class name names boilerplate, False where it mentions it, else nothing."""
+    words = [w.lower() for w in _CUE_WORD.findall(name)]
+    if CUES.isdisjoint(words):
+        return None
+    head = next((w for w in reversed(words) if len(w) > 1 and (w in CUES or w not in NEUTRAL)), "")
+    return head in CUES and MENTIONS.isdisjoint(words)
+
+
+def _cue(tag: str, attributes: str) -> tuple[bool, bool | None]:
+    """Whether an element is hidden, and whether its class, id or role names or mentions boilerplate."""
+    found = None
+    if tag in ("html", "body", "main", "h1") or not _CUE_ATTRIBUTE.search(attributes):
+        return False, found
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, found
+        if name in ("class", "id", "role"):
+            for one in value.split():
+                named = _names_boilerplate(one)
+                found = found if named is None else bool(found or named)
+    return False, found
+
+
+class _Element(NamedTuple):
+    tag: str
+    skips: bool
+    cue: bool | None
+    is_main: bool
+    began: int
+
+
+class _Open:
+    """Open elements of a page. All lookups take a time that doesn't depend on the depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Element] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.skipped = self.main = 0
+        self.spans: list[tuple[int, int]] = []
+        self.cues: list[tuple[int, int, bool]] = []
+
+    def kind(self) -> str:
+        return self.stack[self.blocks[-1]].tag if self.blocks else "body"
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def cut(self, size: int, now: int) -> None:
+        """Close elements until ``size`` are open; ``now`` is the number of events so far."""
+        while len(self.stack) > size:
+            e = self.stack.pop()
+            self.where[e.tag].pop()
+            if e.tag in BLOCKS:
+                self.blocks.pop()
+            self.skipped -= e.skips
+            self.main -= e.is_main
+            if e.is_main:
+                self.spans.append((e.began, now))
+            if e.cue is not None:
+                self.cues.append((e.began, now, e.cue))
+
+    def push(self, e: _Element) -> None:
+        self.where[e.tag].append(len(self.stack))
+        if e.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+        self.skipped += e.skips
+        self.main += e.is_main
+
+    def before(self, tag: str, now: int) -> None:
+        """Close what a start tag ends."""
+        if tag in BLOCKS and (self.kind() == "p" or tag in HEADINGS and self.kind() in HEADINGS):
+            self.cut(self.blocks[-1], now)
+        closed, barrier = _IMPLIED.get(tag, ((), CELLS))
+        if any(self.where.get(c) for c in closed):
+            bar = self.last(barrier)
+            for c in closed:
+                if self.where[c] and self.where[c][-1] > bar:
+                    self.cut(self.where[c][-1], now)
+
+    def end(self, tag: str, now: int) -> None:
+        """Close the nearest such element, unless it lies outside the table, cell or block at hand."""
+        if not self.where.get(tag):
+            return
+        at = self.where[tag][-1]
+        if tag in TABLE:
+            bar = -1 if tag == "table" else self.last(frozenset(["table"]))
+        elif tag in BLOCKS or tag in SKIPPED or tag in FORMATTING:
+            bar = self.last(CELLS)
+        else:
+            bar = self.blocks[-1] if self.blocks else -1
+        if at > bar:
+            self.cut(at, now)
+
+
+def _left_out(events: list[tuple], cues: list[tuple[int, int, bool]], headings: list[int]) -> list[bool]:
+    """Which events lie in an element that its class, id or role makes boilerplate."""
+    sizes = [0 if b < 0 or f[0] else -n if f[2] else n * (n >= 5) for f, n, b in events]
+    worth = [0, *accumulate(sizes)]
+
+    def covered(strict: bool) -> list[bool]:
+        steps = [0] * (len(events) + 1)
+        for begin, end, named in cues:
+            at = bisect_left(headings, begin)
+            if named and strict and not (at < len(headings) and headings[at] < end) or worth[end] - worth[begin] < WORTH:
+                steps[begin] += 1
+                steps[end] -= 1
+        return [depth > 0 for depth in accumulate(steps)]
+
+    out = covered(True)
+    if all(o or b < 0 or f[0] for (f, _, b), o in zip(events, out, strict=False)):
+        out = covered(False)
+    return out
 
 
 def parse(page: str) -> tuple[list[tuple], list[tuple[int, int]], list[str]]:
     """Events of a page, spans of its main containers, and the text of its blocks.
 
     An event is (tag, or nothing in boilerplate, 0, -1) or (feature of words, number of words,
-    block). The feature of words is (in boilerplate, kind of block, in a link).
+    block). The feature of words is (in boilerplate, kind of block, in a link). The text of a block
+    leaves out words in boilerplate.
     """
     events: list[tuple] = []
-    spans: list[tuple[int, int]] = []
-    blocks: list[list[str]] = [[]]
-    stack: list[tuple[str, bool, int]] = []
-    open_tags: Counter = Counter()
-    skipped = main = links = 0
-    kind, at, size = "body", 0, len(page)
+    blocks: list[list[tuple[str, int]]] = [[]]
+    headings: list[int] = []
+    tree = _Open()
+    reader, at, size, last = _QUOTED, 0, len(page), page.rfind(">")
     while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        words = m[7]
-        if words is not None:
+        if at > last:
+            reader = _NO_TAGS
+        m = reader.match(page, at)
+        if m.lastgroup is None:
+            at = m.end()
+            continue
+        if m.lastgroup == "words":
+            words = m["words"]
+            if words == "<" and reader is _QUOTED and _TAG_START.match(page, at):
+                reader = _UNQUOTED
+                continue
+            at = m.end()
             text = html.unescape(words) if "&" in words else words
-            blocks[-1].append(text)
+            blocks[-1].append((text, len(events)))
             if n := len(text.split()):
-                events.append(((skipped > 0, kind, links > 0), n, len(blocks) - 1))
+                events.append(((tree.skipped > 0, tree.kind(), bool(tree.where.get("a"))), n, len(blocks) - 1))
+            else:
+                events.append(("", 0, -1))
             continue
-        tag = m[2] or m[5]
-        if tag is None:
-            continue
-        tag, closes, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        at = m.end()
+        tag, attributes = m["tag"].lower(), m["attributes"]
+        if not m["closes"]:
+            tree.before(tag, len(events))
         if tag in BLOCKS and blocks[-1]:
             blocks.append([])
         elif tag == "br":
-            blocks[-1].append(" ")
-        events.append(("" if skipped else tag, 0, -1))
-        if closes:
-            while open_tags[tag]:
-                name, skips, began = stack.pop()
-                open_tags[name] -= 1
-                skipped -= skips
-                links -= name == "a"
-                if began >= 0:
-                    main -= 1
-                    spans.append((began, len(events)))
-                if name == tag:
-                    break
-            kind = next((name for name, _, _ in stack[:-9:-1] if name in BLOCKS), "body")
+            blocks[-1].append((" ", -1))
+        events.append(("" if tree.skipped else tag, 0, -1))
+        if m["closes"]:
+            tree.end(tag, len(events))
         elif tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
         elif tag not in VOID and not attributes.endswith("/"):
-            skips = _skips(tag, attributes, main > 0)
-            is_main = (tag in MAIN or "role=\"main\"" in attributes) and not skips and not skipped
-            stack.append((tag, skips, len(events) - 1 if is_main else -1))
-            open_tags[tag] += 1
-            skipped += skips
-            links += tag == "a"
-            main += is_main
-            if tag in BLOCKS:
-                kind = tag
-    spans += [(began, len(events)) for _, _, began in stack if began >= 0]
-    return events, spans, [" ".join("".join(b).split()) for b in blocks]
+            hidden, cue = _cue(tag, attributes)
+            skips = hidden or tag in SKIPPED or tag == "header" and not tree.main
+            is_main = (tag in MAIN or "role=\"main\"" in attributes) and cue is not True and not skips and not tree.skipped
+            if tag == "h1" and not tree.skipped:
+                headings.append(len(events) - 1)
+            tree.push(_Element(tag, skips, cue, is_main, len(events) - 1))
+    tree.cut(0, len(events))
+    if tree.cues:
+        out = _left_out(events, tree.cues, headings)
+        for i, (feature, n, block) in enumerate(events):
+            if out[i]:
+                events[i] = ("", 0, -1) if block < 0 else ((True, *feature[1:]), n, block)
+        tree.spans = [s for s in tree.spans if not out[s[0]]]
+
+    def piece(text: str, i: int) -> str:
+        return " " if i >= 0 and events[i][2] >= 0 and events[i][0][0] else text
+
+    return events, tree.spans, [" ".join("".join(piece(*x) for x in b).split()) for b in blocks]
 
 
 def _features(feature: tuple, n: int) -> list[str]:
