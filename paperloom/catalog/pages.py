@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import safe_id  # noqa: F401
-from ..operators import merge as mg, pages as pg
+from ..operators import cet, merge as mg, pages as pg
 from .registry import query
 
 _LINES = "regexp_replace(text, '\\n$', '')"
@@ -197,6 +197,27 @@ def _standard(r):
     return pg.build_standard(r.v_passage_lines)
 
 
+@query("T24", f"""WITH i AS (SELECT * FROM v_cet_items), whole AS (SELECT paper_id FROM i GROUP BY paper_id HAVING count(*) = 57 AND count(*) FILTER (part_key % 331 = 0 AND number BETWEEN 1 AND 25) = 0),
+p AS (SELECT paper_id, CASE WHEN trim(title) <> '' THEN title ELSE 'CET-4 ' || paper_id || '.v1' END AS title FROM v_cet_papers JOIN whole USING (paper_id) WHERE original_name LIKE 'CET%'),
+w AS (SELECT paper_id, string_agg(substr('ABCDEFGHIJKLMNO', number, 1) || '=' || p_brand, '|' ORDER BY number) AS words FROM i WHERE number BETWEEN 1 AND 15 GROUP BY paper_id),
+d AS (SELECT paper_id, string_agg(CASE WHEN number = 30 THEN chr(10) ELSE '' END || 'text __' || number || '__ ' || p_name, chr(10) ORDER BY number) FILTER (number BETWEEN 26 AND 35) AS blanks,
+ max(CASE WHEN number = 36 THEN 'A)  ' || p_name || chr(10) || 'B) ' || p_type END) AS letters, max(CASE WHEN number = 46 THEN 'about ' || p_name END) AS one, max(CASE WHEN number = 51 THEN 'about ' || p_name END) AS two FROM i GROUP BY paper_id),
+s AS (SELECT *, CASE WHEN number = 0 THEN 0 WHEN number <= 15 THEN 1 WHEN number <= 25 THEN 2 WHEN number <= 35 THEN 3 WHEN number <= 45 THEN 4 WHEN number <= 55 THEN 5 ELSE 6 END AS section_no FROM i)
+SELECT paper_id, title, section_no, ['writing', 'listening', 'listening', 'wordbank', 'matching', 'reading', 'translation'][section_no + 1] AS kind,
+ ['作文', '听力（第 1—15 题）', '听力（第 16—25 题）', '选词填空', '阅读匹配', '阅读', '汉译英'][section_no + 1] AS section_title, [15.0, 15.0, 20.0, 5.0, 10.0, 20.0, 15.0][section_no + 1] AS total_score,
+ CASE WHEN section_no = 5 THEN CASE WHEN number <= 50 THEN 'Passage One' ELSE 'Passage Two' END END AS group_title, CASE number WHEN 0 THEN '作文' WHEN 56 THEN '翻译' ELSE CAST(number AS VARCHAR) END AS number,
+ CASE number WHEN 0 THEN 'essay' WHEN 56 THEN 'short_answer' ELSE 'single_choice' END AS type,
+ CASE WHEN section_no IN (0, 6) THEN 'Write about ' || p_name WHEN section_no IN (1, 2) THEN '{cet.AUDIO_STEM}' WHEN section_no = 3 THEN '第 ' || number || ' 空' ELSE trim(p_name) END AS stem,
+ CASE WHEN section_no IN (0, 6) THEN '' WHEN section_no = 3 THEN words WHEN section_no = 4 THEN 'A=对应 A 段|B=对应 B 段' ELSE 'A=' || p_brand || '|B=' || p_type || '|C=' || sized || '|D=none' END AS options,
+ [15.0, 1.0, 2.0, 0.5, 1.0, 2.0, 15.0][section_no + 1] AS score,
+ CASE WHEN section_no IN (1, 2) THEN '{cet.AUDIO_NOTE}' WHEN section_no = 3 THEN blanks WHEN section_no = 4 THEN letters WHEN section_no = 5 AND number <= 50 THEN one WHEN section_no = 5 THEN two ELSE '' END AS description,
+ CAST(number // 10 + 1 AS VARCHAR) AS source_pages FROM s JOIN p USING (paper_id) JOIN w USING (paper_id) JOIN d USING (paper_id)""")
+def _cet4(r):
+    rows = cet.build_cet4(r.v_cet_papers, r.v_cet_lines)
+    pairs = F.transform("options", lambda o: F.concat(o["id"], F.lit("="), o["text"]))
+    return rows.withColumns({"options": F.array_join(pairs, "|"), "source_pages": F.array_join(F.col("source_pages").cast("array<string>"), ",")})
+
+
 @query("T25", "SELECT paper_id, CAST(number AS VARCHAR) AS number, trim(stem || ' x') AS stem FROM v_questions WHERE section_no = 5")
 def _writing(r):
     scoped = pg.scope_lines(r.v_part_lines).filter("scope = 'part-V' AND line NOT LIKE 'Part %'")

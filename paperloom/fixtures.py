@@ -354,6 +354,29 @@ UNION ALL SELECT paper_id, 6, number * 20 + 3, 'Outline:' FROM v_questions WHERE
 UNION ALL SELECT paper_id, 6, number * 20 + 4, '1. first point' FROM v_questions WHERE number = 54
 """
 
+# Papers of 57 items: writing, listening 1-25, blanks 26-35, statements 36-45, choices 46-55, translation.
+VIEWS["v_cet_items"] = """
+SELECT CAST(floor(p_partkey / 57.0) AS BIGINT) AS paper_id, CAST(p_partkey % 57 AS INT) AS number, p_partkey AS part_key, p_name, p_brand, p_type, p_size, 'size ' || CAST(p_size AS STRING) AS sized FROM part
+"""
+
+VIEWS["v_cet_papers"] = """
+SELECT paper_id, CASE WHEN paper_id % 5 = 4 THEN 'degree ' ELSE 'CET-4 ' END || CAST(paper_id AS STRING) || '.v1.pdf' AS original_name, CASE paper_id % 3 WHEN 0 THEN 'Paper ' || CAST(paper_id AS STRING) WHEN 1 THEN '' END AS title FROM v_cet_items GROUP BY paper_id
+"""
+
+# Their lines; some papers lost one, and every page repeats a line of the printer.
+VIEWS["v_cet_lines"] = """
+WITH l AS (
+SELECT paper_id, number, part_key, 0 AS off, CASE number WHEN 0 THEN 'Part I Writing (30 minutes)' WHEN 1 THEN 'Part II' WHEN 26 THEN 'Part III Reading Comprehension' WHEN 36 THEN 'Section B' WHEN 46 THEN 'Section C' WHEN 51 THEN 'Passage Two' ELSE 'Part IV Translation' END AS line FROM v_cet_items WHERE number IN (0, 1, 26, 36, 46, 51, 56)
+UNION ALL SELECT paper_id, number, part_key, 1, CASE number WHEN 1 THEN 'Listening Comprehension' WHEN 26 THEN 'Section A' WHEN 36 THEN 'A)  ' || p_name WHEN 46 THEN 'Passage One' WHEN 51 THEN 'about ' || p_name ELSE 'Write about ' || p_name END FROM v_cet_items WHERE number IN (0, 1, 26, 36, 46, 51, 56)
+UNION ALL SELECT paper_id, number, part_key, 2, CASE number WHEN 36 THEN 'B) ' || p_type WHEN 46 THEN 'about ' || p_name ELSE 'Section A' END FROM v_cet_items WHERE number IN (1, 36, 46)
+UNION ALL SELECT paper_id, number, part_key, 3, CASE WHEN number <= 25 THEN CAST(number AS STRING) || '. A) ' || p_brand || '  B) ' || p_type WHEN number <= 35 THEN 'text __' || CAST(number AS STRING) || '__ ' || p_name ELSE CAST(number AS STRING) || '. ' || p_name END FROM v_cet_items WHERE number BETWEEN 1 AND 55 AND (part_key % 331 <> 0 OR number > 25)
+UNION ALL SELECT paper_id, number, part_key, 4, CASE WHEN number > 25 THEN 'A) ' || p_brand || ' B) ' || p_type || chr(32) ELSE '' END || 'C) ' || sized || ' D) none' FROM v_cet_items WHERE number BETWEEN 1 AND 25 OR number BETWEEN 46 AND 55
+UNION ALL SELECT paper_id, number, part_key, 5, 'Questions 16 to 25 are based on what you hear.' FROM v_cet_items WHERE number = 15
+UNION ALL SELECT paper_id, 35, part_key, 5 + number, substr('ABCDEFGHIJKLMNO', number, 1) || ') ' || p_brand FROM v_cet_items WHERE number BETWEEN 1 AND 15
+UNION ALL SELECT paper_id, number, part_key, 50, '2024年大学英语四级真题' FROM v_cet_items WHERE number % 10 = 9)
+SELECT paper_id, CAST(floor(number / 10.0) AS BIGINT) + 1 AS page, CAST(number * 100 + off AS BIGINT) AS line_no, line FROM l
+"""
+
 # One source line per document and the material kept for it.
 VIEWS["v_prose_lines"] = """
 SELECT doc_id AS paper_id, CAST(1 AS BIGINT) AS page, CAST(0 AS BIGINT) AS line_no, 'Part III Reading' AS line FROM documents
