@@ -20,8 +20,9 @@ from .common import mapped
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training regions are looked for in, regions used, and their tokens, at most.
 SAMPLE_DOCS, SAMPLE_REGIONS, REGION_TOKENS = 20_000, 600, 40
-#: Tokens of a span, at most, and the posterior from which on a span is added.
-LONGEST, SURE = 6, 0.9
+#: Tokens and characters of a span, at most, and the posterior from which on a span is added. No
+#: e-mail address that can be delivered to is longer: 64 characters, the sign and 255 more.
+LONGEST, LONGEST_CHARS, SURE = 6, 320, 0.9
 #: Tokens beside one with a trigger that belong to its region.
 MARGIN = 2
 STEPS, RATE, DECAY = 120, 1.0, 1e-3
@@ -72,7 +73,6 @@ _TRIGGER = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.I)
 _TOKEN = re.compile(r"\S+")
 _EDGE_LEFT = "\"'<[{,;:!?*%$&#|=~`"
 _EDGE_RIGHT = "\"'>]},;:!?*%$&#|=~`."
-_LINE = 400
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -83,8 +83,7 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         if trigger.start() < done:
             continue
         # The tokens within reach: MARGIN before the trigger's own, that one, MARGIN after it.
-        low = max(done, 0, trigger.start() - _LINE)
-        before = [m.span() for m in _TOKEN.finditer(text, low, trigger.start())]
+        before = _before(text, max(done, 0), trigger.start())
         joined = bool(before) and before[-1][1] == trigger.start()
         first = before[-1][0] if joined else trigger.start()
         left = (before[:-1] if joined else before)[-MARGIN:]
@@ -105,6 +104,20 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         yield [_core(text, *t) for t in tokens]
 
 
+def _before(text: str, low: int, end: int) -> list[tuple[int, int]]:
+    """The last tokens from ``low`` to ``end``, ``MARGIN`` + 1 of them if there are as many. Looks
+    back no further than it must, and over no character more than a few times."""
+    reach = 200
+    while True:
+        start = max(low, end - reach)
+        found = [m.span() for m in _TOKEN.finditer(text, start, end)]
+        if start == low:
+            return found
+        if len(found) > MARGIN + 1:
+            return found[1:]  # the first may be the rest of a longer one
+        reach *= 4
+
+
 def _core(text: str, start: int, end: int) -> tuple[int, int]:
     while start < end - 1 and text[start] in _EDGE_LEFT:
         start += 1
@@ -146,7 +159,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int
     for j in range(len(tokens)):
         for i in range(max(0, j - LONGEST + 1), j + 1):
             start, end = tokens[i][0], tokens[j][1]
-            if any(marked[i : j + 1]) and "\n" not in text[start:end] and end - start <= 100:
+            if any(marked[i : j + 1]) and "\n" not in text[start:end] and end - start <= LONGEST_CHARS:
                 spans.append((i, j + 1))
                 rows.append(span_features(text[start:end], j + 1 - i))
     return spans, np.array(rows).reshape(-1, FEATURES)

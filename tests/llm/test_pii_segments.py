@@ -92,3 +92,18 @@ def test_rows(docs, with_null_id, empty):
         assert set(filter(None, text.split(","))) <= set(row["spans"].split(","))
     assert pii.find(empty, weights).count() == 0
     assert pii.learn(empty).shape == weights.shape
+
+
+def test_a_long_address_in_other_writing_is_added():
+    weights = pii.fit([f" to ann.{i}@mail{i % 9}.example.com or " for i in range(40)] + [f" in {1900 + i} we " for i in range(40)])
+    for local, domain in ((70, 20), (64, 200)):
+        span = "a" * local + " (at) " + "b" * domain + ".example.com"
+        text = f"Please write to {span} soon"
+        assert ("email", text.index("a" * local), text.index(span) + len(span)) in pii.added_spans(text, pii.base_spans(text), weights)
+
+
+def test_regions_do_not_depend_on_what_stands_before():
+    for word in ("x" * 150, "x" * 1_000, "y " * 50 + "z" * 5_000):
+        text = f"one two {word} 5 six"
+        tokens = next(pii.regions(text))
+        assert [text[a:b] for a, b in tokens][-4:] == [*text.split()[-4:]] and len(tokens) == 4
