@@ -12,12 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, least_count, mapped
+from .common import crc_mod, mapped
 
-#: Training documents of each language, at most, and pairs of a language and a word kept of them.
+#: Training documents of each language, at most, and pairs of a language and a word kept of them,
+#: of which each language has an equal part.
 SAMPLE_DOCS = 1_500
 SAMPLE_WORDS = 150_000
 ROUNDS = 4
@@ -172,8 +173,9 @@ def learn(docs: DataFrame, model: str) -> Model:
     """Piece probabilities from at most ``SAMPLE_DOCS`` training documents of each language.
 
     Training documents have a language and a crc32 of the id whose remainder by 3 is not 1; of
-    these, the ones with the least hash of their id. Of their words, the ``SAMPLE_WORDS`` most
-    frequent pairs of language and word are used. Without any, every text is undetermined.
+    these, the ones with the least hash of their id. Of their words, the most frequent of each
+    language are used, ``SAMPLE_WORDS`` by the number of languages of each; of words that occur as
+    often the first by spelling. Without any, every text is undetermined.
     """
     train = docs.filter(F.col("lang").isNotNull() & (crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT))
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
@@ -191,7 +193,9 @@ def learn(docs: DataFrame, model: str) -> Model:
         return split
 
     counted = mapped(chosen, splitter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    rows = counted.filter(F.col("n") >= least_count(counted, "n", SAMPLE_WORDS)).toPandas()
+    # The window keeps the first of each task before it shuffles.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    rows = counted.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_WORDS // max(1, len(langs))).drop("rank").toPandas()
     counted.unpersist()
     table = rows.pivot(index="word", columns="lang", values="n").reindex(columns=langs).fillna(0.0).sort_index() if len(rows) else None
     if table is None:

@@ -65,3 +65,15 @@ def test_cases(docs, with_null_id, empty):
     assert langid.identify(empty, model).count() == 0
     none = langid.learn(empty, PATH)
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
+
+
+def test_words_of_a_small_language_are_kept(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "SAMPLE_WORDS", 40)
+    monkeypatch.setattr(langid, "fit", lambda words, counts, vocab: seen.update(words=words, counts=counts) or np.ones((len(vocab.pieces), counts.shape[1])))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    large = " ".join(a + b for a in letters for b in letters) + " "
+    rows = [(i, large * 20, "xx") for i in range(60)] + [(100 + i, "kleine worte " + "q" * (i + 1), "yy") for i in range(9)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH)
+    assert model.langs == ["xx", "yy"] and {"kleine", "worte"} <= set(seen["words"])
+    assert (seen["counts"] > 0).sum(0).tolist()[0] == 20 and (seen["counts"] > 0).sum() <= 40
