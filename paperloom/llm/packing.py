@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences, with bin counts certified by lower bounds.
 
-Pieces are dealt over parts and packed best-fit decreasing. Dual-feasible functions bound from
+Pieces are dealt over parts of like lengths and packed best-fit decreasing. Dual-feasible functions bound from
 below how many bins a part needs, which certifies its packing or not. The loosest bins of a part,
 more of them the further it is above its bound, are its gaps: their pieces meet in a pool with
 those of sixteen parts and are packed again, round after round, until one pool is left.
@@ -17,14 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, mapped, written
 
 CAPACITY = 2048
 #: Pieces that a part holds on average; parts are packed in one task each.
-PART_PIECES = 2_000
+PART_PIECES = 50_000
 #: Parts whose open bins meet in one pool.
 FAN = 16
 #: Loose bins that a part gives up, and as many more for each bin above its bound.
@@ -155,7 +155,7 @@ def _pack(rows: pd.DataFrame, level: int, capacity: int) -> pd.DataFrame:
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
     held = rows.groupby("sequence_id")["length"].sum()
     above = len(held) - bound(lengths, capacity)
-    loosest = held[held <= capacity - capacity // 64].nsmallest(RELEASED * (1 + max(0, above))).index
+    loosest = held[held < capacity].nsmallest(RELEASED * (1 + max(0, above))).index
     rows["open"] = rows["sequence_id"].isin(loosest)
     return rows
 
@@ -174,9 +174,12 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIEC
     schema = f"doc_id {kind}, {_PLACED}"
     cuts = written(cuts, "pieces")
     parts = max(1, -(-cuts.count() // part_pieces))
-    dealt = cuts.withColumns(
-        {"part": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "open": F.lit(True)}
-    )
+    # Every part gets an even choice of all lengths: buckets by hash, of which each is dealt in order
+    # of length. Rows that repeat an id go to different buckets.
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts))
+    order = Window.partitionBy("bucket").orderBy("length", "doc_id", "piece")
+    turn = cuts.withColumn("bucket", bucket).withColumn("part", F.pmod(F.row_number().over(order) + F.col("bucket"), F.lit(parts)).cast("long")).drop("bucket")
+    dealt = turn.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "open": F.lit(True)})
     settled, level = [], 0
     while True:
         packed = written(dealt.groupBy("part").applyInPandas(_packer(level, capacity), schema), "packed")

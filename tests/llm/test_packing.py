@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import packing
@@ -78,5 +79,14 @@ def test_exchange_saves_bins(spark):
     assert packing.pack(cuts, part_pieces=5).select("sequence_id").distinct().count() <= packing.pack(cuts, part_pieces=10_000).select("sequence_id").distinct().count() + 3
 
 
+def test_parts_are_near_one_packing_of_all(spark):
+    lengths = np.random.default_rng(3).integers(1, 2049, 40_000)
+    rows = pd.DataFrame({"doc_id": np.arange(len(lengths)), "piece": 0, "start": 0, "length": lengths, "ids_crc32": 0})
+    cuts = spark.createDataFrame(rows).withColumn("piece", F.col("piece").cast("int"))
+    whole = packing.best_fit(np.sort(lengths)[::-1], 2048).max() + 1
+    assert packing.pack(cuts).select("sequence_id").distinct().count() == whole
+    assert packing.pack(cuts, part_pieces=5_000).select("sequence_id").distinct().count() <= 1.005 * whole
+
+
 def test_empty_table(empty):
     assert packing.pack(packing.pieces(empty, PATH)).count() == 0
