@@ -87,6 +87,26 @@ def _passage(r):
     return ql.missing_passage(r.v_passages, checked(r)).distinct()
 
 
+_TYPE = "CASE paper_id % 3 WHEN 0 THEN 'listening' WHEN 1 THEN '' END"
+
+
+@query("Q7_types", f"SELECT * FROM ({_Q7}) WHERE paper_id % 3 <> 0")
+def _no_stem_by_type(r):
+    return ql.missing_stem(checked(r).withColumn("section_type", F.expr(_TYPE)))
+
+
+@query("Q8_types", f"SELECT * FROM ({_Q8}) WHERE paper_id % 3 <> 0")
+def _placeholder_by_type(r):
+    return ql.placeholder_stem(checked(r).withColumn("section_type", F.expr(_TYPE)))
+
+
+@query("Q9_types", f"""WITH b AS (SELECT *, trim(regexp_replace(description, '(?is)^directions?\\s*:.*?(\\n\\s*\\n|$)', ''), ' ' || chr(10)) AS body FROM v_passages WHERE section_no IN (2, 3) AND paper_id % 3 <> 0 AND (description <> '' OR paper_id % 2 = 1))
+SELECT DISTINCT {_row('missing_passage', 'warning', section='b.section_title', page='q.page', paper='b.paper_id')} FROM b LEFT JOIN v_checked_questions q ON q.paper_id = b.paper_id AND q.section_no = b.section_no AND q.group_no IS NOT DISTINCT FROM b.group_no WHERE length(body) < 60""")
+def _passage_by_type(r):
+    whole = F.expr("CASE WHEN paper_id % 2 = 0 THEN repeat('x', 80) ELSE '' END")
+    return ql.missing_passage(r.v_passages.withColumn("section_type", F.expr(_TYPE)).withColumn("section_description", whole), checked(r)).distinct()
+
+
 @query("Q10", f"SELECT {_row('section_score', 'warning', section='section_title')} FROM v_sections WHERE score <> 0 AND abs(CAST(score * 1000 AS BIGINT) * n_questions - total_score * 1000) > greatest(110, 11 * n_questions)")
 def _section_score(r):
     return ql.section_score(r.v_sections)

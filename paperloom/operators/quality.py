@@ -5,6 +5,8 @@ so that no issue has to gather all its pages in one place.
 
 Question rows: ``paper_id, section_no, section_title, group_no, position, page, question_id,
 number, type, stem, options array<struct<id,text>>``. Source lines: ``paper_id, page, line_no, line``.
+Rows of questions, sections and passages may also have a ``section_type``: where it isn't empty, the
+kind of the section is the kind that it names, not its title's.
 """
 
 from __future__ import annotations
@@ -27,6 +29,20 @@ DECLARED = r"共\s*(?:\d+\s*篇\s*[、,，]?\s*)?(\d+)\s*题"
 SEGMENT_END = r"(?i)^\s*(?:Section\s+[A-Z]|Directions|Questions\s+\d|Passage\s+\w+)"
 
 
+def _given(rows: DataFrame, column: str) -> Column:
+    return F.col(column) if column in rows.columns else F.lit(None).cast("string")
+
+
+def kind_of(rows: DataFrame) -> Column:
+    """Kind of a row's section, by its type before its title."""
+    given = _given(rows, "section_type")
+    return tx.section_kind(F.when(given != "", given).otherwise(F.col("section_title")))
+
+
+def key_of(rows: DataFrame) -> Column:
+    return tx.section_key(F.col("section_title"), _given(rows, "section_type"))
+
+
 def issues(df: DataFrame, code: str, severity: str | Column, section=None, number=None, page=None) -> DataFrame:
     pick = lambda c, kind: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast(kind)
     level = F.lit(severity) if isinstance(severity, str) else severity
@@ -69,7 +85,7 @@ def duplicate_number(questions: DataFrame) -> DataFrame:
     """Repeated number in a section key; an error when the stem repeats the one before."""
     keyed = questions.select(
         "paper_id", "section_title", "number", "position", "page",
-        tx.section_key(F.col("section_title")).alias("section_key"),
+        key_of(questions).alias("section_key"),
         F.regexp_replace(F.coalesce("stem", F.lit("")), r"(?U)\s+", "").alias("packed"),
     )
     # A question on several pages is one question; its pages come back as rows at the end.
@@ -99,13 +115,13 @@ def invalid_options(questions: DataFrame) -> DataFrame:
 
 
 def missing_stem(questions: DataFrame) -> DataFrame:
-    needs = ~tx.section_kind(F.col("section_title")).isin(*STEMLESS_KINDS)
+    needs = ~kind_of(questions).isin(*STEMLESS_KINDS)
     blank = tx.strip(F.coalesce("stem", F.lit(""))) == ""
     return issues(questions.filter(needs & blank), "missing_stem", "error", "section_title", "number", "page")
 
 
 def placeholder_stem(questions: DataFrame) -> DataFrame:
-    needs = ~tx.section_kind(F.col("section_title")).isin(*STEMLESS_KINDS)
+    needs = ~kind_of(questions).isin(*STEMLESS_KINDS)
     hit = tx.strip(F.coalesce("stem", F.lit(""))).rlike(PLACEHOLDER)
     return issues(questions.filter(needs & hit), "placeholder_stem", "error", "section_title", "number", "page")
 
@@ -113,10 +129,12 @@ def placeholder_stem(questions: DataFrame) -> DataFrame:
 def missing_passage(passages: DataFrame, questions: DataFrame) -> DataFrame:
     """Passages that are shorter than 60 characters without their directions.
 
-    ``passages``: ``paper_id, section_no, section_title, group_no, description``.
+    ``passages``: ``paper_id, section_no, section_title, group_no, description``; where the last is
+    empty, a ``section_description`` counts.
     """
-    body = tx.strip(F.regexp_replace(F.coalesce("description", F.lit("")), r"(?is)^Directions?\s*[:：].*?(?:\n\s*\n|$)", ""))
-    short = passages.filter(tx.section_kind(F.col("section_title")).isin(*PASSAGE_KINDS) & (F.length(body) < 60))
+    text = F.coalesce(F.when(F.col("description") != "", F.col("description")), _given(passages, "section_description"), F.lit(""))
+    body = tx.strip(F.regexp_replace(text, r"(?is)^Directions?\s*[:：].*?(?:\n\s*\n|$)", ""))
+    short = passages.filter(kind_of(passages).isin(*PASSAGE_KINDS) & (F.length(body) < 60))
     keys = ["paper_id", "section_no", "group_no"]
     on = questions.select(*keys, "page").distinct().withColumnsRenamed({k: f"q_{k}" for k in keys})
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in keys])
@@ -152,12 +170,12 @@ class Source:
     def __init__(self, lines: DataFrame, questions: DataFrame):
         self.lines = scope_lines(lines)
         self.questions = questions
-        kind = tx.section_kind(F.col("section_title"))
+        kind = kind_of(questions)
         pooled = F.when(kind.isin("wordbank", "matching"), F.lit("reading")).otherwise(kind)
         self.actual = (
             questions.select(
                 "paper_id", "number",
-                F.explode(F.array(tx.section_key(F.col("section_title")), F.concat(F.lit("kind-"), pooled))).alias("held_as"),
+                F.explode(F.array(key_of(questions), F.concat(F.lit("kind-"), pooled))).alias("held_as"),
             )
             .distinct()
         )
@@ -266,7 +284,7 @@ def missing_writing_prompt(source: Source, sections: DataFrame) -> DataFrame:
     topic = F.regexp_extract("t", r"(?is)\btopic\s*[:：]\s*(.+?)(?:\.(?:\s|$)|\n\s*\n|$)", 1)
     topics = topic_text.select(*keys, topic.alias("topic")).filter(F.col("topic") != "")
     is_writing = tx.section_kind(F.col("section_title")) == "writing"
-    with_key = lambda df: df.withColumn("section_key", tx.section_key(F.col("section_title"))).withColumn("is_writing", is_writing)
+    with_key = lambda df: df.withColumn("section_key", key_of(df)).withColumn("is_writing", is_writing)
     pieces = with_key(sections).select("paper_id", "section_key", "is_writing", "section_no", F.lit(-1).cast("bigint").alias("position"), F.col("description").alias("piece")).unionByName(
         with_key(source.questions).select("paper_id", "section_key", "is_writing", "section_no", F.col("position").cast("bigint").alias("position"), F.col("stem").alias("piece"))
     )
@@ -327,8 +345,8 @@ def _candidates(source: Source) -> DataFrame:
     ids = F.transform("options", lambda o: o["id"])
     short = F.size(F.array_except(F.array(*[F.lit(x) for x in "ABCD"]), ids)) > 0
     q = source.questions.select(
-        "paper_id", "number", tx.section_key(F.col("section_title")).alias("section_key"),
-        tx.section_kind(F.col("section_title")).alias("kind"), F.coalesce(short, F.lit(True)).alias("short"),
+        "paper_id", "number", key_of(source.questions).alias("section_key"),
+        kind_of(source.questions).alias("kind"), F.coalesce(short, F.lit(True)).alias("short"),
     )
     kinds = source.scopes.select("paper_id", "scope", "scope_kind")
     return (

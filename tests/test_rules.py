@@ -69,3 +69,16 @@ def test_items_without_a_section_row_stay(spark):
     sections = spark.createDataFrame([("p", 1, 2.0, 10.0, 5)], "paper_id string, section_no int, score double, total_score double, n_questions int")
     got = {r["section_no"]: float(r["max_score"]) for r in grading.item_scores(items, sections).collect()}
     assert got == {1: 2.0, 2: 0.0}
+
+
+def test_the_type_of_a_section_goes_before_its_title(spark):
+    rows = [("a", "Part II Reading", "listening", "1"), ("b", "Part II Reading", "", "2"), ("c", "Part II Reading", None, "3"), ("d", "Cloze", "reading", "4"), ("e", "Cloze", None, "5"), ("f", "Cloze", "unheard of", "6")]
+    questions = spark.createDataFrame([(*r, 1, 1, " ") for r in rows], "paper_id string, section_title string, section_type string, number string, position long, page int, stem string")
+    assert sorted(r["number"] for r in quality.missing_stem(questions).collect()) == ["2", "3", "4", "6"]
+    assert sorted(r["number"] for r in quality.missing_stem(questions.drop("section_type")).collect()) == ["1", "2", "3"]
+    keys = {r["paper_id"]: r["k"] for r in questions.select("paper_id", quality.key_of(questions).alias("k")).collect()}
+    assert keys == {"a": "part-II", "b": "part-II", "c": "part-II", "d": "reading", "e": "cloze", "f": "unheard of"}
+    passages = questions.select("paper_id", F.lit(1).alias("section_no"), "section_title", "section_type", F.lit(None).cast("int").alias("group_no"), F.lit("").alias("description"))
+    near = passages.withColumn("section_description", F.when(F.col("paper_id") == "d", "long " * 20))
+    on = questions.withColumn("section_no", F.lit(1)).withColumn("group_no", F.lit(None).cast("int"))
+    assert sorted(r["paper_id"] for r in quality.missing_passage(near, on).collect()) == ["b", "c", "e"]
