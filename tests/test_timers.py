@@ -3,9 +3,12 @@
 import datetime as dt
 import random
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.operators import plans as pl
+from paperloom.streaming.timers import PlanTimer
 from paperloom.streaming import latest_times, retention_stream, run_to_table, timer_stream
 
 DAY = dt.datetime(2024, 1, 1)
@@ -22,6 +25,76 @@ def dealt(spark, events, schema, folder, seed):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
+class Store:
+    """A state store that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, [], []
+
+    def getListState(self, name, schema):
+        return self._part()
+
+    getValueState = getListState
+
+    def _part(self):
+        part = Store()
+        part.owner = self
+        return part
+
+    def _count(self):
+        self.owner.calls += 1
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def exists(self):
+        self._count()
+        return bool(self.values)
+
+    def get(self):
+        self._count()
+        return list(self.values) if isinstance(self.values, list) else self.values
+
+    def appendValue(self, value):
+        self._count()
+        self.values.append(value)
+
+    def clear(self):
+        self._count()
+        self.values = []
+
+    def update(self, value):
+        self._count()
+        self.values = value
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def fed(processor, keys, schema, events, watermarks):
+    """Calls to the store and rows of all watermarks, for events of one shard."""
+    store = Store()
+    processor.bound(keys, schema).init(store)
+    list(processor.handleInputRows((0,), iter([events]), Clock(0)))
+    rows = [frame for at in watermarks for frame in processor.handleExpiredTimer((0,), Clock(at), None)]
+    return store.calls, pd.concat(rows)
+
+
+def test_calls_to_the_store_dont_grow_with_the_days_of_learners():
+    schema = pa.schema([("learner_id", pa.int64()), ("plan_date", pa.date32()), ("at_us", pa.int64()), ("event_id", pa.int64()), ("task_id", pa.int64()), ("action", pa.string())])
+    n = 500
+    events = pd.DataFrame({"learner_id": range(n), "plan_date": [DAY.date()] * n, "at_us": [i * 1_000_000 for i in range(n)], "event_id": range(n), "task_id": [1] * n, "action": ["start"] * n})
+    calls, rows = fed(PlanTimer(), ["learner_id", "plan_date"], schema, events, [n * 500, n * 2000])
+    assert len(rows) == n and set(rows["status"]) == {"active"}
+    assert calls < 30
+
+
 def test_timers_agree_with_the_batch(spark, tmp_path):
     rng = random.Random(5)
     kinds = [*pl.STARTS, *pl.STARTS, *pl.SETTLES, *pl.PLAN_ACTIONS, "odd"]
