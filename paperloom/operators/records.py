@@ -31,8 +31,11 @@ def keep_last_attempts(attempts: DataFrame, keys: list[str], keep: int = 30) ->
 
 
 def merge_highlights(ranges: DataFrame, key: str = "element") -> DataFrame:
-    """Valid ranges of each text, with those that overlap or touch made one."""
-    valid = ranges.filter("start_pos >= 0 AND end_pos <= text_len AND end_pos > start_pos").select(key, "start_pos", "end_pos")
+    """Valid ranges of each text, with those that overlap or touch made one.
+
+    Equal ranges count once: two scans would order them in two ways, and one that opens nothing must not
+    come before the one that does."""
+    valid = ranges.filter("start_pos >= 0 AND end_pos <= text_len AND end_pos > start_pos").select(key, "start_pos", "end_pos").distinct()
     block = F.floor(F.col("start_pos") / POSITIONS_PER_BLOCK)
     order = ["start_pos", "end_pos"]
     reached = running(valid, [key], order, block, {"reached": Running("max", F.col("end_pos"), inclusive=False)})
