@@ -1,8 +1,8 @@
 """Phrase coverage: how often the phrases of a list occur in an exam corpus, and where.
 
-Phrases meet texts through an inverted index: a phrase is looked up by its rarest literal word only, so
-an index row leads to the few phrases anchored at it, and only those pairs are checked with the phrase's
-whole pattern. A phrase of placeholders alone has no such word; it is met through the number of words
+Phrases meet texts through an inverted index of words and pairs of neighbours: a phrase is looked up by its
+rarest literal one only, so an index row leads to the few phrases anchored at it, and only those pairs are
+checked with the phrase's whole pattern. A phrase of placeholders alone has no such word; it is met through the number of words
 that a text must have, which is an equality as well.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.staging import staged
+
 # Placeholders of phrase lists, and the sections that count.
 PLACEHOLDERS = ["sb", "sth", "somebody", "someone", "something", "somewhere"]
 SECTIONS = ["vocabulary", "cloze", "reading"]
@@ -44,10 +46,22 @@ def _is_gap(token: Column) -> Column:
 
 
 def phrase_pattern(tokens: Column) -> Column:
-    """A pattern for normalised text; null for a phrase without tokens, which matches nothing."""
-    gap = f"{_WORD}(?:\\s+{_WORD}){{0,{GAP - 1}}}"
+    """A pattern for padded text; null for a phrase without tokens, which matches nothing. It begins with a blank
+    and takes words whole, so a place that doesn't match is left at once."""
+    gap = f"{_WORD}+(?:  {_WORD}+){{0,{GAP - 1}}}"
     part = F.transform(tokens, lambda t: F.when(_is_gap(t), F.lit(gap)).when(F.contains(t, F.lit("/")), F.concat(F.lit("(?:"), F.replace(t, F.lit("/"), F.lit("|")), F.lit(")"))).otherwise(t))
-    return F.when(F.size(tokens) > 0, F.concat(F.lit("(?<![a-z0-9'])"), F.array_join(part, r"\s+"), F.lit("(?![a-z0-9'])")))
+    return F.when(F.size(tokens) > 0, F.concat(F.lit(" "), F.array_join(part, "  "), F.lit(" ")))
+
+
+def padded(text: Column) -> Column:
+    """Normalised text with a blank before and after every word, so that matches next to each other share none."""
+    return F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def _grams(words: Column) -> Column:
+    """The words and pairs of neighbours of a text, once each."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
 
 
 def phrase_matches(phrases: DataFrame, corpus: DataFrame, ab_wildcard: bool = False) -> DataFrame:
@@ -55,22 +69,32 @@ def phrase_matches(phrases: DataFrame, corpus: DataFrame, ab_wildcard: bool = Fa
 
     ``phrases``: list_id, number, phrase; ``corpus``: entry_id, text. A null text has no words.
     """
-    texts = corpus.select("entry_id", normalize_exam_text(F.col("text")).alias("text")).filter("text <> ''")
+    texts = staged(corpus.select("entry_id", normalize_exam_text(F.col("text")).alias("text")).filter("text <> ''"), "texts")
     listed = phrases.select("list_id", "number", "phrase", phrase_tokens(F.col("phrase"), ab_wildcard).alias("tokens"))
-    listed = listed.withColumn("pattern", phrase_pattern(F.col("tokens")))
-    # One row for each word that may stand at a literal place: an alternative is one place with several.
-    places = listed.select("list_id", "number", F.posexplode("tokens").alias("place", "token")).filter(~_is_gap(F.col("token")))
-    choices = places.select("list_id", "number", "place", F.explode(F.split("token", "/")).alias("word"))
+    listed = staged(listed.withColumn("pattern", phrase_pattern(F.col("tokens"))), "phrases")
+    checked = candidates(listed, texts).join(listed.select("list_id", "number", "phrase", "pattern"), ["list_id", "number"]).join(texts, "entry_id")
+    found = checked.select("list_id", "number", "phrase", "entry_id", F.regexp_count(padded(F.col("text")), F.col("pattern")).cast("bigint").alias("occurrences"))
+    return found.filter("occurrences > 0").unionByName(_gap_matches(listed, texts))
+
+
+def candidates(listed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``list_id, number, entry_id``: texts that hold the rarest word or pair of neighbours of a phrase.
+    ``listed``: list_id, number, tokens; ``texts``: entry_id, text, normalised."""
+    # One row for each word that may stand at a literal place, and for each pair at two such places in a row:
+    # an alternative is one place with several.
+    places = listed.select("list_id", "number", "tokens", F.posexplode("tokens").alias("place", "token")).filter(~_is_gap(F.col("token")))
+    after = F.get("tokens", F.col("place") + 1)
+    singles = places.select("list_id", "number", "place", F.lit(1).alias("words"), F.explode(F.split("token", "/")).alias("word"))
+    firsts = places.withColumn("after", after).filter(F.col("after").isNotNull() & ~_is_gap(F.col("after")))
+    doubles = firsts.select("list_id", "number", "place", "after", F.explode(F.split("token", "/")).alias("a")).select("list_id", "number", "place", "a", F.explode(F.split("after", "/")).alias("b"))
+    choices = singles.unionByName(doubles.select("list_id", "number", "place", F.lit(2).alias("words"), F.concat_ws(" ", "a", "b").alias("word")))
     wanted = choices.select("word").distinct()
-    index = texts.select("entry_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(wanted, "word", "left_semi")
+    index = staged(texts.select("entry_id", F.explode(_grams(F.split("text", " "))).alias("word")).join(wanted, "word", "left_semi"), "index")
     frequency = index.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
-    cost = choices.join(frequency, "word", "left").groupBy("list_id", "number", "place").agg(F.sum(F.coalesce("held", F.lit(0))).alias("cost"))
-    anchor = cost.groupBy("list_id", "number").agg(F.min_by("place", F.struct("cost", "place")).alias("place"))
-    anchored = choices.join(anchor, ["list_id", "number", "place"]).select("list_id", "number", "word")
-    pairs = index.join(anchored, "word").select("list_id", "number", "entry_id").distinct()
-    checked = pairs.join(listed.select("list_id", "number", "phrase", "pattern"), ["list_id", "number"]).join(texts, "entry_id")
-    found = checked.select("list_id", "number", "phrase", "entry_id", F.regexp_count("text", F.col("pattern")).cast("bigint").alias("occurrences"))
-    return found.filter("occurrences > 0").unionByName(_gap_matches(listed, texts))
+    cost = choices.join(frequency, "word", "left").groupBy("list_id", "number", "place", "words").agg(F.sum(F.coalesce("held", F.lit(0))).alias("cost"))
+    anchor = cost.groupBy("list_id", "number").agg(F.min_by(F.struct("place", "words"), F.struct("cost", "place", "words")).alias("at")).select("list_id", "number", "at.place", "at.words")
+    anchored = choices.join(anchor, ["list_id", "number", "place", "words"]).select("list_id", "number", "word")
+    return index.join(anchored, "word").select("list_id", "number", "entry_id").distinct()
 
 
 def _gap_matches(listed: DataFrame, texts: DataFrame) -> DataFrame:

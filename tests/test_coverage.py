@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import coverage as cv
 
 GAPS = {"...", *cv.PLACEHOLDERS}
@@ -70,3 +72,14 @@ def test_lists_without_a_match_have_zeros(spark):
     assert sorted(tuple(r) for r in cv.list_summary(listed, found).collect()) == [(1, 1, 0, 0.0, 0), (2, 1, 1, 100.0, 1)]
     facets = {(r["list_id"], r["facet"], r["value"]): (r["matched_phrases"], r["occurrences"]) for r in cv.facet_summary(listed, found, corpus).collect()}
     assert len(facets) == 10 and facets[2, "section", "cloze"] == (1, 1) and facets[1, "year", "2021"] == (0, 0) and facets[2, "section", "vocabulary"] == (0, 0)
+
+
+def test_words_apart_are_no_candidates(spark):
+    """Texts are looked up by a phrase's words next to each other; frequent words apart cost no check of a text."""
+    texts = spark.createDataFrame([(i, "of a cat the dog of") for i in range(200)] + [(900, "out of the box"), (901, "for the of the")], "entry_id long, text string")
+    phrases = spark.createDataFrame([(0, 1, "of the"), (0, 2, "for/of the"), (0, 3, "of ... the")], "list_id long, number long, phrase string")
+    listed = phrases.withColumn("tokens", cv.phrase_tokens(F.col("phrase")))
+    got = sorted((r.number, r.entry_id) for r in cv.candidates(listed, texts).collect() if r.number < 3)
+    assert got == [(1, 900), (1, 901), (2, 900), (2, 901)]
+    found = {(r.number, r.entry_id): r.occurrences for r in cv.phrase_matches(phrases, texts).collect()}
+    assert found[2, 901] == 2 and found[1, 900] == 1 and found[3, 5] == 1
