@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.operators import plans as pl
-from paperloom.streaming.timers import PlanTimer
 from paperloom.streaming import latest_times, retention_stream, run_to_table, timer_stream
+from paperloom.streaming.retention import Retention
+from paperloom.streaming.timers import PlanTimer
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -95,6 +96,15 @@ def test_calls_to_the_store_dont_grow_with_the_days_of_learners():
     assert calls < 30
 
 
+def test_calls_to_the_store_dont_grow_with_the_items():
+    schema = pa.schema([("item_id", pa.string()), ("at_us", pa.int64()), ("event_id", pa.int64()), ("kind", pa.string())])
+    n, day = 500, 86_400_000
+    events = pd.DataFrame({"item_id": [f"i{i}" for i in range(n)] * 2, "at_us": [0] * n + [day * 1000] * n, "event_id": range(2 * n), "kind": ["trash"] * n + ["restore"] * (n // 2) + ["trash"] * (n // 2)})
+    calls, rows = fed(Retention(), ["item_id"], schema, events, [2 * day, 14 * day, 16 * day, 17 * day])
+    assert sorted(rows["item_id"]) == sorted(f"i{i}" for i in range(n // 2, n))
+    assert calls < 40
+
+
 def test_timers_agree_with_the_batch(spark, tmp_path):
     rng = random.Random(5)
     kinds = [*pl.STARTS, *pl.STARTS, *pl.SETTLES, *pl.PLAN_ACTIONS, "odd"]
