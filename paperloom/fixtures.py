@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.staging import staged
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -393,6 +395,10 @@ SELECT user_id AS paper_id, event_id AS window_no, event_id % 8 + 1 AS page, CAS
  CASE WHEN event_id % 3 = 0 THEN event_id % 5 + 1 END AS failed_page FROM events
 """
 
+#: What a view's tables are dealt by before its joins, in the session's number of parts. Rows of a few numbers shuffle
+#: so small that adaptive execution would give one task as many of them as its memory can't hold.
+DEALT = {"v_answers": {"lineitem": "l_orderkey", "orders": "o_orderkey", "v_questions": "question_key"}}
+
 _NAME = re.compile(r"\b(" + "|".join([*TABLES, r"v_\w+"]) + r")\b")
 _LITERAL = re.compile(r"'[^']*'")
 
@@ -418,18 +424,30 @@ class Roles:
             if name in TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in VIEWS:
-                df = self.sql(VIEWS[name])
+                df = self.sql(VIEWS[name], DEALT.get(name, {}))
             else:
                 raise AttributeError(name)
             self._made[name] = df
         return self._made[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """Spark SQL over tables and role views by name, without touching the catalog."""
+    def once(self, name: str, *keys: str) -> Roles:
+        """Write a view that several others read; they get it dealt by ``keys``."""
+        self._made[name] = self._deal(staged(getattr(self, name), name), *keys)
+        return self
+
+    def _deal(self, df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    def sql(self, text: str, dealt: dict[str, str] | None = None) -> DataFrame:
+        """Spark SQL over tables and role views by name, without touching the catalog. ``dealt``: columns by which
+        tables are dealt first."""
         names = _referenced(text)
         for name in names:
             text = re.sub(r"((?:FROM|JOIN)\s+)" + name + r"\b", r"\g<1>{" + name + "}", text)
-        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
+        frames = {n: getattr(self, n) for n in names}
+        for name, key in (dealt or {}).items():
+            frames[name] = self._deal(frames[name], key)
+        return self.spark.sql(text, **frames)
 
 
 def with_views(sql: str) -> str:

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from paperloom.fixtures import Roles
 from paperloom.operators import records as rc, review as rv
 
 DAY = dt.datetime(2024, 1, 1)
@@ -69,3 +70,11 @@ def test_results_lie_over_the_draft(spark):
     rows, sent = rv.record_results(draft, results)
     assert told(rows, "entry_id", "answer", "is_correct", "revealed") == [("a", None, None, True), ("b", "B", True, False), ("c", "D", True, True)]
     assert told(sent, "record_id", "seq", "results") == [(1, 1, 2), (1, 2, 1)]
+
+
+def test_answers_keep_their_parts_however_small_rows_are(spark):
+    roles = Roles(spark, "/root/testdata/sf0.001")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = lambda df: {r[0] for r in df.select(F.spark_partition_id()).collect()}
+    assert len(used(roles.v_answers)) == parts
+    assert len(used(roles.once("v_answers", "attempt_id", "question_key").v_practice)) == parts
