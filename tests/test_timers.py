@@ -151,3 +151,18 @@ def test_restored_items_stay_and_others_go_once(spark, tmp_path):
     spark.createDataFrame([(1000, DAY + dt.timedelta(days=200), "end", "restore")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     rows = [(r.item_id, r.at) for r in run_to_table(spark, retention_stream(again), "retention", str(tmp_path / "out")).select("item_id", F.col("purged_at").cast("timestamp_ntz").alias("at")).collect()]
     assert len(rows) == len(dict(rows)) and dict(rows) == kept(events, DAY + dt.timedelta(days=199))
+
+
+def test_a_stream_has_no_more_parts_of_state_than_cores(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, item_id string, kind string"
+    events = [(i, DAY + dt.timedelta(days=i), f"p{i % 5}", "trash") for i in range(30)]
+    stream = dealt(spark, events, schema, tmp_path / "in", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        run_to_table(spark, retention_stream(stream), "retention", str(tmp_path / "out"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    kept_in = [p for p in (tmp_path / "out" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(kept_in) <= spark.sparkContext.defaultParallelism
