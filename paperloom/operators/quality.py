@@ -324,16 +324,17 @@ def passage_coverage(lines: DataFrame, material: DataFrame) -> DataFrame:
         & ~F.col("line").rlike(r"^\s*(?:\d+[.、]|[A-D][).])")
     )
     word = lambda c, p: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0))))
-    source_words = prose.select("paper_id", "scope", "scope_kind", word(F.lower("line"), "[a-z]{5,}").alias("word")).distinct()
     held = F.when(F.col("kind").isin("reading", "wordbank", "matching"), "reading").otherwise(F.col("kind"))
-    kept_words = material.select("paper_id", "section_key", held.alias("pool"), word(F.lower("description"), "[a-z]{5,}").alias("word")).distinct()
-    by_kind = kept_words.select("paper_id", F.col("pool").alias("scope_kind"), "word", F.lit(1).alias("hit")).distinct()
-    by_key = kept_words.select("paper_id", F.col("section_key").alias("scope"), "word", F.lit(1).alias("key_hit")).distinct()
+    # Both sides meet in one grouping by word; what is gathered of a word is the few parts that hold it.
+    source_words = prose.select("paper_id", word(F.lower("line"), "[a-z]{5,}").alias("word"), F.struct("scope", "scope_kind").alias("part"))
+    kept_words = material.select("paper_id", word(F.lower("description"), "[a-z]{5,}").alias("word"), held.alias("pool"), F.col("section_key").alias("key"))
+    both = source_words.unionByName(kept_words, allowMissingColumns=True)
+    met = both.groupBy("paper_id", "word").agg(*[F.collect_set(c).alias(f"{c}s") for c in ("part", "pool", "key")])
+    spread = met.select("paper_id", "pools", "keys", F.explode("parts").alias("part"))
+    hit = F.coalesce(F.array_contains("pools", F.col("part.scope_kind")), F.lit(False)) | F.coalesce(F.array_contains("keys", F.col("part.scope")), F.lit(False))
     low = (
-        source_words.join(by_kind, ["paper_id", "scope_kind", "word"], "left")
-        .join(by_key, ["paper_id", "scope", "word"], "left")
-        .groupBy("paper_id", "scope")
-        .agg(F.count("*").alias("words"), F.count(F.coalesce("hit", "key_hit")).alias("kept"))
+        spread.groupBy("paper_id", F.col("part.scope").alias("scope"))
+        .agg(F.count("*").alias("words"), F.count_if(hit).alias("kept"))
         .filter((F.col("words") > 60) & (F.col("kept") / F.col("words") < 0.55))
     )
     pages = lines.select("paper_id", "scope", "page").distinct()

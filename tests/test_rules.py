@@ -82,3 +82,19 @@ def test_the_type_of_a_section_goes_before_its_title(spark):
     near = passages.withColumn("section_description", F.when(F.col("paper_id") == "d", "long " * 20))
     on = questions.withColumn("section_no", F.lit(1)).withColumn("group_no", F.lit(None).cast("int"))
     assert sorted(r["paper_id"] for r in quality.missing_passage(near, on).collect()) == ["b", "c", "e"]
+
+
+def test_passage_words_count_once_by_part_and_kind(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"word{a}{b}" for a in letters for b in letters][:80]
+    line = " ".join([*words, *words[:9]])
+    lines = [(1, 1, 1, "part-III", "reading"), (2, 1, 1, "part-III", "reading"), (3, 1, 1, "part-II", "cloze"), (4, 1, 1, "part-II", "cloze"), (5, 1, 1, "part-V", "writing")]
+    rows = [(*x, line) for x in lines] + [(1, 1, 2, "part-III", "reading", line.upper())]
+    source = spark.createDataFrame(rows, "paper_id long, page long, line_no long, scope string, scope_kind string, line string")
+    some, most = " ".join(words[:43]), " ".join(words[:44])
+    material = [(1, "x", "wordbank", some), (2, "x", "matching", most), (3, "part-II", None, most), (4, None, "reading", line), (4, "part-III", None, line)]
+    kept = spark.createDataFrame(material, "paper_id long, section_key string, kind string, description string")
+    found = quality.passage_coverage(source, kept)
+    assert sorted(r["paper_id"] for r in found.collect()) == [1, 4]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the pages; words meet without one
