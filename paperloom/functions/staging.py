@@ -30,3 +30,9 @@ def staged(df: DataFrame, name: str = "staged") -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in the session's number of parts. Rows of a few numbers or of like texts shuffle so small that
+    adaptive execution would give one task as many of them as its memory can't hold; these parts are not merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

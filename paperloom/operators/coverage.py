@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.staging import staged
+from ..functions.staging import dealt, staged
 
 # Placeholders of phrase lists, and the sections that count.
 PLACEHOLDERS = ["sb", "sth", "somebody", "someone", "something", "somewhere"]
@@ -72,7 +72,9 @@ def phrase_matches(phrases: DataFrame, corpus: DataFrame, ab_wildcard: bool = Fa
     texts = staged(corpus.select("entry_id", normalize_exam_text(F.col("text")).alias("text")).filter("text <> ''"), "texts")
     listed = phrases.select("list_id", "number", "phrase", phrase_tokens(F.col("phrase"), ab_wildcard).alias("tokens"))
     listed = staged(listed.withColumn("pattern", phrase_pattern(F.col("tokens"))), "phrases")
-    checked = candidates(listed, texts).join(listed.select("list_id", "number", "phrase", "pattern"), ["list_id", "number"]).join(texts, "entry_id")
+    # Texts meet their phrases where both are dealt by text. Sizes of files tell little of sizes in memory, so neither is
+    # left to be sent to every task.
+    checked = candidates(listed, texts).join(listed.select("list_id", "number", "phrase", "pattern"), ["list_id", "number"]).join(dealt(texts, "entry_id").hint("merge"), "entry_id")
     found = checked.select("list_id", "number", "phrase", "entry_id", F.regexp_count(padded(F.col("text")), F.col("pattern")).cast("bigint").alias("occurrences"))
     return found.filter("occurrences > 0").unionByName(_gap_matches(listed, texts))
 
@@ -94,7 +96,8 @@ def candidates(listed: DataFrame, texts: DataFrame) -> DataFrame:
     cost = choices.join(frequency, "word", "left").groupBy("list_id", "number", "place", "words").agg(F.sum(F.coalesce("held", F.lit(0))).alias("cost"))
     anchor = cost.groupBy("list_id", "number").agg(F.min_by(F.struct("place", "words"), F.struct("cost", "place", "words")).alias("at")).select("list_id", "number", "at.place", "at.words")
     anchored = choices.join(anchor, ["list_id", "number", "place", "words"]).select("list_id", "number", "word")
-    return index.join(anchored, "word").select("list_id", "number", "entry_id").distinct()
+    # Written, so that its size is known: the index is the longer side, and stays where its texts are.
+    return dealt(index, "entry_id").join(staged(anchored, "anchored"), "word").select("list_id", "number", "entry_id").distinct()
 
 
 def _gap_matches(listed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def exam_corpus(questions: DataFrame, papers: DataFrame, descriptions: DataFrame
 def by_facet(matches: DataFrame, corpus: DataFrame) -> DataFrame:
     """``list_id, number, phrase, facet, value, occurrences`` for the facets year and section."""
     facets = F.explode(F.array(F.struct(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value")), F.struct(F.lit("section").alias("facet"), F.col("section").alias("value")))).alias("f")
-    spread = matches.join(corpus.select("entry_id", facets), "entry_id")
+    spread = matches.join(corpus.select("entry_id", facets).hint("merge"), "entry_id")
     return spread.groupBy("list_id", "number", "phrase", "f.facet", "f.value").agg(F.sum("occurrences").alias("occurrences"))
 
 
@@ -180,8 +183,9 @@ def question_coverage(questions: DataFrame, question_matches: DataFrame) -> Data
     facets = F.explode(F.array(F.struct(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value")), F.struct(F.lit("section").alias("facet"), F.col("section").alias("value")))).alias("f")
     each = questions.select("entry_id", facets).select("entry_id", "f.facet", "f.value")
     domain = each.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("question_count")).withColumn("one", F.lit(1))
-    hit = question_matches.select("list_id", "entry_id").distinct().join(each, "entry_id").groupBy("list_id", "facet", "value").agg(F.count(F.lit(1)).alias("hit"))
-    lists = question_matches.select("list_id").distinct().withColumn("one", F.lit(1))
+    matched_by = staged(question_matches.select("list_id", "entry_id").distinct(), "asked")
+    hit = dealt(matched_by, "entry_id").join(dealt(each, "entry_id").hint("merge"), "entry_id").groupBy("list_id", "facet", "value").agg(F.count(F.lit(1)).alias("hit"))
+    lists = matched_by.select("list_id").distinct().withColumn("one", F.lit(1))
     full = lists.join(domain, "one").drop("one").join(hit, ["list_id", "facet", "value"], "left")
     matched = F.coalesce("hit", F.lit(0))
     return full.select("list_id", "facet", "value", "question_count", matched.alias("matched_questions"), percent(matched, F.col("question_count")).alias("coverage_percent"))

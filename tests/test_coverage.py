@@ -83,3 +83,16 @@ def test_words_apart_are_no_candidates(spark):
     assert got == [(1, 900), (1, 901), (2, 900), (2, 901)]
     found = {(r.number, r.entry_id): r.occurrences for r in cv.phrase_matches(phrases, texts).collect()}
     assert found[2, 901] == 2 and found[1, 900] == 1 and found[3, 5] == 1
+
+
+def test_texts_are_not_sent_to_every_task(spark):
+    """Files of like texts are small whatever they hold, so texts and their words are dealt by text instead."""
+    texts = spark.createDataFrame([(i, "2021", "cloze", f"out of the box {i}") for i in range(500)], "entry_id long, year string, section string, text string")
+    phrases = spark.createDataFrame([(0, 1, "of the"), (0, 2, "box ... 77")], "list_id long, number long, phrase string")
+    tokens = phrases.withColumn("tokens", cv.phrase_tokens(F.col("phrase")))
+    assert cv.candidates(tokens, texts).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    matches = cv.phrase_matches(phrases, texts)
+    for found in (matches, cv.by_facet(matches, texts), cv.question_coverage(texts, matches)):
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [entry_id" in plan and "BroadcastHashJoin [entry_id" not in plan
