@@ -13,7 +13,6 @@ documents and deal out by the run.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, least_count, mapped, partitions, written
+from .common import crc_mod, least_count, mapped, numbered_words, partitions, written
 
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Words whose counts and symbols every task knows, at most; they are broadcast. All other words
@@ -40,8 +39,8 @@ WIDTH, DRAWN, WORD_RATE, ROUNDS, AT_ONCE, IN_CACHE, BLOCK = 16, 10, 0.1, 2, 1 <<
 SCORED, SHARES = 1 << 19, 48
 #: Tokens whose runs a task sums before it hands them on, and bits of a word's number in a run.
 HELD_TOKENS, BITS = 1 << 20, 20
-#: The token after the last word; no word is empty.
-END = b""
+#: The token after the last word; no word is empty. Bytes of text that are split at one time.
+END, PART = b"", 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,6 +50,20 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
+def tokens_of(texts: list[bytes | None], parts: int = 1) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """``words_of`` some texts at a time: the distinct words, the end as the last one; the number of every
+    token; how many each text has."""
+    held: list[bytes] = []
+    size = 0
+    for at, text in enumerate(texts, 1):
+        held.append((text or b"").lower())
+        size += len(held[-1])
+        if size >= parts * PART or at == len(texts):
+            words, ids, lengths = numbered_words(held)
+            yield [*words, END], np.insert(ids.astype(np.int64), np.cumsum(lengths), len(words)), lengths + 1
+            held, size = [], 0
+
+
 class Lexicon:
     """Known words with their counts, most frequent first, and what the others add up to."""
 
@@ -132,20 +145,26 @@ def fit(cells: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 7
 def _word_counts(train: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+            for words, ids, _ in tokens_of(batch.column(0).cast(pa.binary()).to_pylist(), 2):
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(ids, minlength=len(words)).astype(np.int64))], names=["word", "n"])
 
     rows = train.select("text").mapInArrow(counted, "word binary, n long")
     return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def runs_of(at: np.ndarray, known: int) -> np.ndarray:
-    """Runs of three words of a document, each as one number; ``at`` has -1 for a rare word."""
+def runs_of(at: np.ndarray, lengths: np.ndarray, known: int) -> np.ndarray:
+    """Runs of three words of documents of ``lengths`` tokens, each as one number; ``at`` has -1 for a rare word."""
     at = np.where(at < 0, known, at)
-    padded = np.r_[known + 1, known + 1, at]
-    return padded[:-2] << 2 * BITS | padded[1:-1] << BITS | at
+    starts = np.cumsum(lengths) - lengths
+    one, two = np.roll(at, 1), np.roll(at, 2)
+    one[starts] = known + 1
+    two[starts] = known + 1
+    two[starts[lengths > 1] + 1] = known + 1
+    return two << 2 * BITS | one << BITS | at
+
+
+def _known(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +210,9 @@ def run_counts(train: DataFrame, lexicon) -> DataFrame:
                 yield _packed(int(b), keys[own], n[own])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                held.append(runs_of(np.fromiter((index.get(w, -1) for w in words), np.int64, len(words)), size))
-                tokens += len(words)
+            for words, ids, lengths in tokens_of(batch.column(0).cast(pa.binary()).to_pylist()):
+                held.append(runs_of(_known(words, index)[ids], lengths, size))
+                tokens += len(ids)
                 if tokens >= HELD_TOKENS:
                     yield from out()
                     held, tokens = [], 0
@@ -417,7 +435,11 @@ def trained(runs: DataFrame, lexicon: Lexicon, groups: Groups, p: dict[str, np.n
     return after
 
 
-def _log_sums(x: np.ndarray) -> np.ndarray:
+def _log_sums(x: np.ndarray, apart: float) -> np.ndarray:
+    """ln of the sums of exp(x), which is changed. Where ``x`` is at most ``apart`` from ln of shares that
+    add up to one, and that is little, no sum leaves the range of its numbers."""
+    if apart < 60:
+        return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     top = x.max(1)
     x -= top[:, None]
     return top + np.log(np.exp(x, out=x).sum(1))
@@ -431,6 +453,8 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
     contexts, of = np.unique(keys >> BITS, return_inverse=True)
     two, one = contexts >> BITS, contexts & mask
     context, cell = p["one"][one] + p["two"][two], symbol[two] * SYMBOLS + symbol[one]
+    longest = [float(np.linalg.norm(x, axis=1).max(initial=0)) for x in (context, p["symbol"], p["group"], p["word"])]
+    apart = longest[0] * max(longest[1:])
     last = keys & mask
     own, by_symbol = symbol[last], np.empty(len(keys))
     for i in range(0, len(contexts), IN_CACHE):
@@ -438,7 +462,7 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
         scores += context[i : i + IN_CACHE] @ p["symbol"].T
         low, high = np.searchsorted(of, [i, i + IN_CACHE])
         here = of[low:high] - i
-        by_symbol[low:high] = scores[here, own[low:high]] - _log_sums(scores)[here]
+        by_symbol[low:high] = scores[here, own[low:high]] - _log_sums(scores, apart)[here]
 
     order = np.argsort(own * len(groups.place) + groups.place[last])
     last, own, found = last[order], own[order], by_symbol[order]
@@ -454,7 +478,7 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
             low, high = starts[parent[i]], starts[parent[i] + 1]
             if high - low > 1:
                 x = rows[i:j] @ p[kind][low:high].T + share[low:high]
-                found[a + i : a + j] += x[np.arange(j - i), child[i:j] - low] - _log_sums(x)
+                found[a + i : a + j] += x[np.arange(j - i), child[i:j] - low] - _log_sums(x, apart)
     out = np.empty(len(keys))
     out[order] = found
     return out[back]
@@ -506,34 +530,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         index, size, symbol = known.index(), len(known.words), known.run_symbol()
 
         def scored(batch: dict) -> dict:
-            out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [], "n_rare": [], "base": [], "rare": []}
-            model = np.zeros(len(batch["text"]))
-            held: list[np.ndarray] = []
-            of: list[int] = []
-            tokens = 0
-
-            def add() -> None:
-                keys, lengths = np.concatenate(held), [len(k) for k in held]
+            out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [], "n_rare": [], "base": [], "model": [], "rare": []}
+            for words, ids, lengths in tokens_of([x and x.encode("utf-8", "surrogatepass") for x in batch["text"]]):
+                at, starts = _known(words, index)[ids], np.cumsum(lengths) - lengths
+                keys = runs_of(at, lengths, size)
                 chances = np.concatenate([log_chances(keys[i : i + SCORED], symbol, groups, vectors, table) for i in range(0, len(keys), SCORED)])
-                model[of] += np.add.reduceat(chances, np.r_[0, np.cumsum(lengths)[:-1]]) / np.log(10)
-
-            for at_row, text in enumerate(batch["text"]):
-                words = words_of(text)
-                at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                out["n_tokens"].append(len(words))
-                out["base"].append(known.log_count[at].sum())
-                rare = Counter([words[i] for i in np.flatnonzero(at < 0)])
-                out["n_rare"].append(rare.total())
-                out["rare"].append([{"word": w, "tf": n} for w, n in rare.items()])
-                held.append(runs_of(at, size))
-                of.append(at_row)
-                tokens += len(words)
-                if tokens >= SCORED:
-                    add()
-                    held, of, tokens = [], [], 0
-            if held:
-                add()
-            return out | {"model": model}
+                out["n_tokens"] += lengths.tolist()
+                out["base"] += np.add.reduceat(known.log_count[at], starts).tolist()
+                out["model"] += (np.add.reduceat(chances, starts) / np.log(10)).tolist()
+                # Rare words of each document, by its place and the word's number.
+                unknown = np.flatnonzero(at < 0)
+                place = np.repeat(np.arange(len(lengths)), lengths)[unknown]
+                out["n_rare"] += np.bincount(place, minlength=len(lengths)).tolist()
+                found, n = np.unique(place * len(words) + ids[unknown], return_counts=True)
+                rare: list[list[dict]] = [[] for _ in lengths]
+                for i, w, k in zip((found // len(words)).tolist(), (found % len(words)).tolist(), n.tolist()):
+                    rare[i].append({"word": words[w], "tf": k})
+                out["rare"] += rare
+            return out
 
         return scored
 

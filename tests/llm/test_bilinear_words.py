@@ -56,3 +56,21 @@ def test_runs_are_counted_whole(spark, docs):
                 assert (k >> 2 * lm.BITS, k >> lm.BITS & mask, k & mask) not in got
                 got[k >> 2 * lm.BITS, k >> lm.BITS & mask, k & mask] = x
     assert got == want
+
+
+def test_tokens_are_numbered_some_texts_at_a_time(monkeypatch):
+    """Parts of texts give the words, and runs of three, that reading text by text gives."""
+    texts = ["a B a", "", None, " \t", "C\x0bd\x85e", "Ä ä a", "one " * 9, "b"]
+    known = {b"a": 0, b"b": 1, lm.END: 2}
+    for part in (1, 8, 1 << 20):
+        monkeypatch.setattr(lm, "PART", part)
+        got, runs = [], []
+        for words, ids, lengths in lm.tokens_of([t and t.encode() for t in texts]):
+            assert words[-1] == lm.END and len(set(words)) == len(words)
+            ends = np.cumsum(lengths)
+            got += [[words[i] for i in ids[a:b]] for a, b in zip(ends - lengths, ends)]
+            runs += lm.runs_of(lm._known(words, known)[ids], lengths, 3).tolist()
+        assert got == [lm.words_of(t) for t in texts]
+        at = [[4, 4, *(known.get(w, 3) for w in lm.words_of(t))] for t in texts]
+        assert runs == [a << 2 * lm.BITS | b << lm.BITS | c for x in at for a, b, c in zip(x, x[1:], x[2:])]
+    assert list(lm.tokens_of([])) == []
