@@ -40,7 +40,7 @@ SCORED, SHARES = 1 << 19, 48
 #: Tokens whose runs a task sums before it hands them on, and bits of a word's number in a run.
 HELD_TOKENS, BITS = 1 << 20, 20
 #: The token after the last word; no word is empty. Bytes of text that are split at one time.
-END, PART = b"", 8 << 20
+END, PART = b"", 4 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -145,7 +145,7 @@ def fit(cells: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 7
 def _word_counts(train: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, ids, _ in tokens_of(batch.column(0).cast(pa.binary()).to_pylist(), 2):
+            for words, ids, _ in tokens_of(batch.column(0).cast(pa.binary()).to_pylist(), 4):
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(ids, minlength=len(words)).astype(np.int64))], names=["word", "n"])
 
     rows = train.select("text").mapInArrow(counted, "word binary, n long")
@@ -203,7 +203,8 @@ def run_counts(train: DataFrame, lexicon) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             keys, n = keys[starts], np.diff(np.r_[starts, len(keys)])
             bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            # Short numbers are sorted by their bytes.
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(bounds)):
                 own = order[bounds[b] : bounds[b + 1]]
