@@ -178,13 +178,29 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.bin
 
 
 def _packed(bucket: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Keys as steps from one to the next, counts in as few bytes as the largest takes."""
     steps = np.diff(keys, prepend=0).astype(np.int64)
-    return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [steps.tobytes()], "n": [n.astype(np.int64).tobytes()]}, _PACKED)
+    return pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [steps.tobytes()], "n": [n.astype(np.min_scalar_type(n.max())).tobytes()]}, _PACKED)
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-        yield np.cumsum(np.frombuffer(keys, np.int64)), np.frombuffer(n, np.int64)
+        yield np.cumsum(np.frombuffer(keys, np.int64)), np.frombuffer(n, f"u{8 * len(n) // len(keys)}").astype(np.int64)
+
+
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed rows put together until they hold ``size`` runs."""
+    held: list[tuple] = []
+    count = 0
+    for batch in batches:
+        for pair in _unpacked(batch):
+            held.append(pair)
+            count += len(pair[0])
+            if count >= size:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, count = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def run_counts(train: DataFrame, lexicon) -> DataFrame:
@@ -239,16 +255,23 @@ def _cell_counts(runs: DataFrame, lexicon) -> pd.DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = lexicon.value.run_symbol()
-        total, mask = np.zeros(SYMBOLS**3, np.int64), (1 << BITS) - 1
-        for batch in batches:
-            for keys, n in _unpacked(batch):
-                cells = (symbol[keys >> 2 * BITS] * SYMBOLS + symbol[keys >> BITS & mask]) * SYMBOLS + symbol[keys & mask]
-                total += np.bincount(cells, n, SYMBOLS**3).astype(np.int64)
+        total, mask = np.zeros(SYMBOLS**3), (1 << BITS) - 1
+        for keys, n in _together(batches, HELD_TOKENS):
+            cells = (symbol.take(keys >> 2 * BITS) * SYMBOLS + symbol.take(keys >> BITS & mask)) * SYMBOLS + symbol.take(keys & mask)
+            total += np.bincount(cells, n, SYMBOLS**3)
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": cells.astype(np.int32), "n": total[cells]}, pa.schema([("cell", pa.int32()), ("n", pa.int64())]))
+        bounds = np.searchsorted(cells, np.arange(SYMBOLS + 1) * SYMBOLS**2)
+        for b in np.flatnonzero(np.diff(bounds)):
+            own = cells[bounds[b] : bounds[b + 1]]
+            yield _packed(int(b), own, total[own].astype(np.int64))
+
+    def added(of: pa.Table) -> pa.Table:
+        cells, n = zip(*(p for batch in of.to_batches() for p in _unpacked(batch)))
+        cells, n = _summed(np.concatenate(cells), np.concatenate(n))
+        return pa.table({"cell": cells.astype(np.int32), "n": n})
 
-    rows = runs.mapInArrow(counted, "cell int, n long")
-    return rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    rows = runs.mapInArrow(counted, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(added, "cell int, n long")
+    return rows.toPandas().sort_values("cell")
 
 
 class Groups:
@@ -308,39 +331,54 @@ def started(lexicon: Lexicon, groups: Groups, seed: int = 7) -> dict[str, np.nda
     return {k: (rng.normal(0, 0.3, (n, WIDTH)) if k in ("one", "two") else np.zeros((n, WIDTH))).astype(np.float32) for k, n in sizes.items()}
 
 
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; two numbers are added at a time, as the parts of a complex one."""
+    return np.add.reduceat(rows.view(np.complex64), starts).view(np.float32)
+
+
 def _rows(at: np.ndarray, rows: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows of each number in ``at``."""
     if not ordered:
         order = np.argsort(at)
-        at, rows = at[order], rows[order]
+        at, rows = at[order], rows.take(order, axis=0)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[starts], np.add.reduceat(rows, starts)
+    return at[starts], _sums(rows, starts)
 
 
 def _drawn_below(up: dict, p: dict, kind: str, child: np.ndarray, parent: np.ndarray, starts: np.ndarray, sums: np.ndarray, context: np.ndarray, back: np.ndarray, n: np.ndarray, rng) -> None:
     """One step of the estimation among the children of a parent; rows are in order of the child.
 
     Each parent's noise is drawn from its children by their counts, which also are the model's
-    score at a vector of zero, so the odds are the bilinear part alone."""
-    if not len(child):
+    score at a vector of zero, so the odds are the bilinear part alone. A parent's rows stand in
+    pieces of one length, the last filled up with rows that count 0, so that one product serves
+    all parents. Where no parent has two children there is nothing to tell apart."""
+    if not len(child) or np.diff(starts).max() < 2:
         return
     vectors, log_k = p[kind], np.float32(np.log(DRAWN))
-    own = vectors[child]
-    real = n / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", context, own) - log_k, 30)))
-    back += real[:, None] * own
-    up[kind].append(_rows(child, real[:, None] * context, ordered=True))
     begins = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
     ends, of = np.r_[begins[1:], len(parent)], parent[begins]
     low, high = sums[starts[of]], sums[starts[of + 1]]
     noise = np.searchsorted(sums, low[:, None] + rng.random((len(of), DRAWN)) * (high - low)[:, None], "right") - 1
     noise = np.clip(noise, starts[of][:, None], starts[of + 1][:, None] - 1)
-    slopes = np.empty((len(of), DRAWN, WIDTH), np.float32)
-    for i, (a, b) in enumerate(zip(begins, ends)):
-        rows, drawn = context[a:b], vectors[noise[i]]
-        slope = -n[a:b, None] / (1 + np.exp(np.minimum(log_k - rows @ drawn.T, 30)))
-        back[a:b] += slope @ drawn
-        slopes[i] = slope.T @ rows
-    up[kind].append((noise.ravel(), slopes.reshape(-1, WIDTH)))
+    length = 1 << int(np.clip(np.log2(len(parent) / len(of)) - 1, 3, 9))
+    cuts = np.unique(np.searchsorted(begins, np.arange(0, len(parent), IN_CACHE), "right") - 1)
+    for i, j in zip(cuts, [*cuts[1:], len(of)]):
+        at = slice(begins[i], ends[j - 1])
+        rows, own, weights = context[at], vectors.take(child[at], axis=0), n[at]
+        real = weights / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", rows, own) - log_k, 30)))
+        own *= real[:, None]
+        up[kind].append(_rows(child[at], real[:, None] * rows, ordered=True))
+        sizes = ends[i:j] - begins[i:j]
+        pieces = -(-sizes // length)
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(len(rows)) + np.repeat(first * length - begins[i:j] + begins[i], sizes)
+        filled, counted = np.zeros((pieces.sum(), length, WIDTH), np.float32), np.zeros((pieces.sum(), length, 1), np.float32)
+        filled.reshape(-1, WIDTH)[place], counted.ravel()[place] = rows, weights
+        drawn = vectors.take(np.repeat(noise[i:j], pieces, axis=0), axis=0)
+        slope = -counted / (1 + np.exp(np.minimum(log_k - filled @ drawn.transpose(0, 2, 1), 30)))
+        own += (slope @ drawn).reshape(-1, WIDTH).take(place, axis=0)
+        back[at] += own
+        up[kind].append((noise[i:j].ravel(), _sums(slope.transpose(0, 2, 1) @ filled, first).reshape(-1, WIDTH)))
 
 
 def step(p: dict, square: dict, groups: Groups, symbol: np.ndarray, table: np.ndarray, noise: np.ndarray, keys: np.ndarray, n: np.ndarray, rng) -> None:
@@ -351,7 +389,8 @@ def step(p: dict, square: dict, groups: Groups, symbol: np.ndarray, table: np.nd
     order = np.argsort(symbol[last] * len(groups.place) + groups.place[last])
     keys, n, last = keys[order], n[order].astype(np.float32), last[order]
     two, one, own = keys >> 2 * BITS, keys >> BITS & mask, symbol[last]
-    context = p["one"][one] + p["two"][two]
+    context = p["one"].take(one, axis=0)
+    context += p["two"].take(two, axis=0)
     back = np.zeros_like(context)
     up: dict[str, list] = {k: [] for k in p}
 
@@ -361,7 +400,7 @@ def step(p: dict, square: dict, groups: Groups, symbol: np.ndarray, table: np.nd
     for i in range(0, len(keys), IN_CACHE):
         at = slice(i, i + IN_CACHE)
         rows, sym, cell = context[at], own[at], (symbol[two[at]] * SYMBOLS + symbol[one[at]]) * SYMBOLS
-        mine = p["symbol"][sym]
+        mine = p["symbol"].take(sym, axis=0)
         real = n[at] / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", rows, mine) + flat[cell + sym] - against[sym], 30)))
         false = -n[at, None] / (1 + np.exp(np.minimum(against[drawn] - rows @ others.T - flat[cell[:, None] + drawn], 30)))
         back[at] = real[:, None] * mine + false @ others
@@ -376,9 +415,11 @@ def step(p: dict, square: dict, groups: Groups, symbol: np.ndarray, table: np.nd
     up["two"].append((two, back))
     for k, parts in up.items():
         if parts:
-            at, g = _rows(np.concatenate([a for a, _ in parts]), np.concatenate([g for _, g in parts]))
-            square[k][at] += g * g
-            p[k][at] += WORD_RATE * g / np.sqrt(square[k][at])
+            at, g = _rows(*parts[0]) if len(parts) == 1 else _rows(np.concatenate([a for a, _ in parts]), np.concatenate([g for _, g in parts]))
+            squares = square[k].take(at, axis=0)
+            squares += g * g
+            square[k][at] = squares
+            p[k][at] += WORD_RATE * g / np.sqrt(squares)
 
 
 def trained(runs: DataFrame, lexicon: Lexicon, groups: Groups, p: dict[str, np.ndarray], table: np.ndarray, tokens: int, turn: int) -> dict[str, np.ndarray]:
@@ -397,24 +438,10 @@ def trained(runs: DataFrame, lexicon: Lexicon, groups: Groups, p: dict[str, np.n
         symbol, groups, first, table, noise = shared.value
         own, square = {k: v.copy() for k, v in first.items()}, {k: np.ones_like(v) for k, v in first.items()}
         rng = np.random.default_rng(turn)
-        held: list[tuple] = []
-        size = 0
-
-        def work() -> None:
-            keys, n = (np.concatenate(x) for x in zip(*held))
+        for keys, n in _together(batches, at_once):
             order = rng.permutation(len(keys)) if len(keys) > at_once else np.arange(len(keys))
             for i in range(0, len(keys), at_once):
                 step(own, square, groups, symbol, table, noise, keys[order[i : i + at_once]], n[order[i : i + at_once]], rng)
-
-        for batch in batches:
-            for pair in _unpacked(batch):
-                held.append(pair)
-                size += len(pair[0])
-                if size >= at_once:
-                    work()
-                    held, size = [], 0
-        if size:
-            work()
         for k in own:
             for at in range(0, len(own[k]), BLOCK):
                 moved = own[k][at : at + BLOCK] - first[k][at : at + BLOCK]
@@ -453,8 +480,9 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
     keys, back = np.unique(keys, return_inverse=True)
     contexts, of = np.unique(keys >> BITS, return_inverse=True)
     two, one = contexts >> BITS, contexts & mask
-    context, cell = p["one"][one] + p["two"][two], symbol[two] * SYMBOLS + symbol[one]
-    longest = [float(np.linalg.norm(x, axis=1).max(initial=0)) for x in (context, p["symbol"], p["group"], p["word"])]
+    context, cell = p["one"].take(one, axis=0), symbol[two] * SYMBOLS + symbol[one]
+    context += p["two"].take(two, axis=0)
+    longest = [float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5 for x in (context, p["symbol"], p["group"], p["word"])]
     apart = longest[0] * max(longest[1:])
     last = keys & mask
     own, by_symbol = symbol[last], np.empty(len(keys))
@@ -467,10 +495,9 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
 
     order = np.argsort(own * len(groups.place) + groups.place[last])
     last, own, found = last[order], own[order], by_symbol[order]
-    context = context[of[order]]
     a, b = np.searchsorted(own, [SINGLE, RARE])
     place = groups.place[last[a:b]]
-    group, rows = groups.group[place], context[a:b]
+    group, rows = groups.group[place], context.take(of[order[a:b]], axis=0)
     for child, parent, starts, kind, share in (
         (group, own[a:b], groups.group_starts, "group", groups.group_share), (place, group, groups.starts, "word", groups.word_share),
     ):
@@ -478,7 +505,8 @@ def log_chances(keys: np.ndarray, symbol: np.ndarray, groups: Groups, p: dict[st
         for i, j in zip(begins, [*begins[1:], len(parent)]):
             low, high = starts[parent[i]], starts[parent[i] + 1]
             if high - low > 1:
-                x = rows[i:j] @ p[kind][low:high].T + share[low:high]
+                x = rows[i:j] @ p[kind][low:high].T
+                x += share[low:high]
                 found[a + i : a + j] += x[np.arange(j - i), child[i:j] - low] - _log_sums(x, apart)
     out = np.empty(len(keys))
     out[order] = found
@@ -531,7 +559,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         index, size, symbol = known.index(), len(known.words), known.run_symbol()
 
         def scored(batch: dict) -> dict:
-            out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [], "n_rare": [], "base": [], "model": [], "rare": []}
+            out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [], "n_rare": [], "base": [], "model": []}
+            rare: list[pa.ListArray] = []
             for words, ids, lengths in tokens_of([x and x.encode("utf-8", "surrogatepass") for x in batch["text"]]):
                 at, starts = _known(words, index)[ids], np.cumsum(lengths) - lengths
                 keys = runs_of(at, lengths, size)
@@ -544,11 +573,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 place = np.repeat(np.arange(len(lengths)), lengths)[unknown]
                 out["n_rare"] += np.bincount(place, minlength=len(lengths)).tolist()
                 found, n = np.unique(place * len(words) + ids[unknown], return_counts=True)
-                rare: list[list[dict]] = [[] for _ in lengths]
-                for i, w, k in zip((found // len(words)).tolist(), (found % len(words)).tolist(), n.tolist()):
-                    rare[i].append({"word": words[w], "tf": k})
-                out["rare"] += rare
-            return out
+                place, number = np.divmod(found, len(words))
+                each = pa.StructArray.from_arrays([pa.array([words[w] for w in number.tolist()], pa.binary()), pa.array(n, pa.int64())], ["word", "tf"])
+                rare.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.bincount(place, minlength=len(lengths)))].astype(np.int32), each))
+            return out | {"rare": pa.concat_arrays(rare)}
 
         return scored
 
@@ -560,7 +588,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     # Words that are not known to every task: a row for each in each document, joined by the word.
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     known = F.coalesce("n", F.lit(0))
-    found = rare.join(model.counts, "word", "left").groupBy("row").agg(
+    found = rare.join(model.counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(known + 1)).alias("logs"), F.sum(F.when(known > 0, F.col("tf")).otherwise(0)).alias("seen")
     )
     logs, seen = F.coalesce("logs", F.lit(0.0)), F.coalesce("seen", F.lit(0))

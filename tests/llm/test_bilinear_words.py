@@ -1,3 +1,4 @@
+import sys
 from collections import Counter
 
 import numpy as np
@@ -74,3 +75,86 @@ def test_tokens_are_numbered_some_texts_at_a_time(monkeypatch):
         at = [[4, 4, *(known.get(w, 3) for w in lm.words_of(t))] for t in texts]
         assert runs == [a << 2 * lm.BITS | b << lm.BITS | c for x in at for a, b, c in zip(x, x[1:], x[2:])]
     assert list(lm.tokens_of([])) == []
+
+
+def below(parents, rows, seed=0):
+    """Rows of some parents of three children each, in order of the child, as a step has them."""
+    rng = np.random.default_rng(seed)
+    child = np.sort(rng.integers(3 * parents, size=rows))
+    p = {"word": rng.normal(size=(3 * parents, lm.WIDTH)).astype(np.float32)}
+    starts, sums = np.arange(parents + 1) * 3, np.r_[0, np.cumsum(rng.integers(1, 9, 3 * parents))].astype(float)
+    context, n = rng.normal(size=(rows, lm.WIDTH)).astype(np.float32), rng.integers(1, 5, rows).astype(np.float32)
+    up, back = {"word": []}, np.zeros_like(context)
+    return up, p, "word", child, child // 3, starts, sums, context, back, n, np.random.default_rng(1)
+
+
+def test_children_are_told_from_drawn_ones_as_parent_by_parent():
+    for parents, rows in [(1, 1), (1, 5000), (40, 300), (700, 9000)]:
+        given = below(parents, rows)
+        up, p, kind, child, parent, starts, sums, context, back, n, _ = given
+        lm._drawn_below(*given)
+        rng, found = np.random.default_rng(1), np.unique(parent)
+        low, high = sums[starts[found]], sums[starts[found + 1]]
+        drawn = np.searchsorted(sums, low[:, None] + rng.random((len(found), lm.DRAWN)) * (high - low)[:, None], "right") - 1
+        want_back, want = np.zeros(back.shape), np.zeros(p[kind].shape)
+        for i, q in enumerate(found):
+            for r in np.flatnonzero(parent == q):
+                for w, sign in [(child[r], 1), *((w, -1) for w in drawn[i])]:
+                    odds = context[r].astype(float) @ p[kind][w] - np.log(lm.DRAWN)
+                    slope = n[r] * sign / (1 + np.exp(sign * odds))
+                    want_back[r] += slope * p[kind][w]
+                    want[w] += slope * context[r]
+        got = np.zeros(want.shape)
+        for at, g in up[kind]:
+            np.add.at(got, at, g)
+        assert np.allclose(back, want_back, atol=1e-3) and np.allclose(got, want, atol=1e-2)
+
+
+def test_a_step_takes_no_more_calls_for_more_parents():
+    def lines(parents):
+        count, code = 0, lm._drawn_below.__code__
+
+        def trace(frame, event, _):
+            nonlocal count
+            count += event == "line"
+            return trace if frame.f_code is code else None
+
+        given, before = below(parents, 4000), sys.gettrace()
+        sys.settrace(trace)
+        try:
+            lm._drawn_below(*given)
+        finally:
+            sys.settrace(before)
+        return count
+
+    assert lines(1000) < 3 * lines(10)
+
+
+def test_only_children_are_not_worked_on():
+    up, p, kind, child, _, _, sums, *rest = below(20, 500)
+    lm._drawn_below(up, p, kind, child, child, np.arange(61), sums, *rest)
+    assert up == {"word": []}
+
+
+def test_counts_travel_in_few_bytes():
+    keys = np.array([3, 5, 1 << 59])
+    for most, size in [(255, 1), (256, 2), (1 << 16, 4), (1 << 32, 8)]:
+        n = np.array([1, most, 7])
+        packed = lm._packed(0, keys, n)
+        assert len(packed.column("n")[0].as_py()) == size * 3
+        [(got, counts)] = lm._unpacked(packed)
+        assert got.tolist() == keys.tolist() and counts.tolist() == n.tolist()
+
+
+def test_symbols_of_runs_are_counted_whole(spark, docs):
+    model = lm.learn(docs)
+    shared = spark.sparkContext.broadcast(model.lexicon)
+    runs = lm.run_counts(docs, shared)
+    symbol, want, mask = model.lexicon.run_symbol(), Counter(), (1 << lm.BITS) - 1
+    for batch in runs.toArrow().to_batches():
+        for keys, n in lm._unpacked(batch):
+            for k, x in zip(keys.tolist(), n.tolist()):
+                two, one, last = (int(symbol[k >> b & mask]) for b in (2 * lm.BITS, lm.BITS, 0))
+                want[(two * lm.SYMBOLS + one) * lm.SYMBOLS + last] += x
+    got = lm._cell_counts(runs, shared)
+    assert got["cell"].is_monotonic_increasing and dict(zip(got["cell"], got["n"])) == dict(want)
