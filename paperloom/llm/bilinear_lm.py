@@ -242,7 +242,7 @@ def run_counts(train: DataFrame, lexicon) -> DataFrame:
             keys, n = _summed(np.concatenate([k for k, _ in pairs]), np.concatenate([n for _, n in pairs]))
             # In an order of chance, so that what is worked on at a time is a fair part of all.
             place = np.random.default_rng(len(keys)).integers(max(1, -(-len(keys) // (AT_ONCE // 2))), size=len(keys))
-            for i in range(int(place.max()) + 1):
+            for i in np.unique(place).tolist():
                 own = np.flatnonzero(place == i)
                 yield _packed(i, keys[own], n[own])
 
