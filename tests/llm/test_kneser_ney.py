@@ -134,6 +134,22 @@ def test_pairs_that_no_task_holds_are_scored_by_their_counts(spark, monkeypatch)
         assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want)) and len(got) == len(want)
 
 
+def test_words_that_no_task_holds_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BUCKET_WORDS", 1_000)
+    rows = some_rows()
+    docs = spark.createDataFrame([(*r, 0.0, 1, "x") for r in rows], SCHEMA).repartition(3)
+    want = sorted((str(i), plain_counts(t)[0], s or 0) for (i, t, _), s in zip(rows, plain_scores(rows)))
+    new = spark.createDataFrame([(1, "the cat never sat so well on 7 mats", "en", 0.0, 1, "x"), (2, "unseen words only", None, 0.0, 1, "x")], SCHEMA)
+    unseen = []
+    for held in (0, 15, 1_000):
+        model = kneser_ney.learn(docs, known_most=held, pairs_most=10)
+        assert len(model.symbols) <= held + 6 and model.dealt.buckets > 2
+        got = sorted((str(r["doc_id"]), r["n_words"], r["log_perplexity"] or 0) for r in kneser_ney.judge(docs, model).collect())
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want)) and len(got) == len(want)
+        unseen.append(sorted((r["doc_id"], round(r["log_perplexity"], 9)) for r in kneser_ney.judge(new, model).collect()))
+    assert unseen[0] == unseen[1] == unseen[2]
+
+
 def test_words_are_numbered_in_one_pass():
     """Each distinct word once, in order of its first place, as plain splitting finds them; windows as plain counting does."""
     from paperloom.llm.common import numbered_words
